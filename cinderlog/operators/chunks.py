@@ -12,6 +12,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import strip, unify_line_ends
@@ -81,7 +82,7 @@ def pack_paragraphs(text: Column, max_characters: int = fixed.CHUNK_CHARACTERS)
     return F.aggregate(paragraphs, start, take, closed)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _occurrences(labels: pd.Series) -> pd.Series:
     """For every label of a document, how often it has come up so far, itself included."""
 

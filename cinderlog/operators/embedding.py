@@ -12,6 +12,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hashed_words(dimensions: int = 256) -> Callable[[DataFrame], DataFrame]:
@@ -32,7 +33,7 @@ def hashed_words(dimensions: int = 256) -> Callable[[DataFrame], DataFrame]:
 def from_function(function: Callable[[str], Sequence[float]]) -> Callable[[DataFrame], DataFrame]:
     """Wrap a plain ``text -> vector`` function; runs in Arrow batches inside the tasks."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: [float(value) for value in function(text)])
 

@@ -129,17 +129,22 @@ def report_rows(
     """Report rows without id of incidents with events.
 
     ``analyses`` has ``incident_id`` and ``analysis_markdown``; incidents without events have no
-    row here and so cannot be saved.
+    row here and so cannot be saved.  With a ``part`` column, further parts of an analysis are
+    saved as rows of their own, whose signature ends in the part number.
     """
+    part = F.col("part") if "part" in analyses.columns else F.lit(1)
+    texts = analyses.select("incident_id", part.alias("_part"), "analysis_markdown")
     return (
         signatures(events, source_name, part_lines)
         .join(event_window(events), "incident_id")
-        .join(analyses.select("incident_id", "analysis_markdown"), "incident_id")
+        .join(texts, "incident_id")
         .select(
-            "signature",
+            F.when(F.col("_part") == 1, F.col("signature"))
+            .otherwise(F.concat_ws("/", "signature", F.col("_part").cast("string")))
+            .alias("signature"),
             "source_name",
             created_at.alias("created_at"),
-            F.col("event_count"),
+            "event_count",
             "started_at",
             "ended_at",
             "analysis_markdown",

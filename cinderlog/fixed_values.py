@@ -59,6 +59,15 @@ REDACTIONS = (
         "$1=[REDACTED]",
     ),
 )
+# Per pattern: groups of lower-case literals, of each of which a matching text holds at least
+# one.  Literals avoid "s" and "i", which also match letters outside ASCII when case is ignored.
+REDACTION_LITERALS = (
+    (("@",),),
+    ((".",),),
+    (("bearer",),),
+    (("token",), ("=", ":")),
+    (("word", "wd", "key", "ecret"), ("=", ":")),
+)
 # Literal that occurs in every replacement above.
 REDACTION_MARK = "[REDACTED"
 

@@ -19,34 +19,39 @@ def normalize_level(level: Column) -> Column:
     return result
 
 
-def plain_parts(line: Column) -> Column:
-    """Array ``['', timestamp, level, service, message]`` of a plain log line, else null.
+def marked_groups(line: Column) -> Column:
+    """A plain log line rewritten to its timestamp, level, service and message.
 
-    One pass over the line: the pattern rewrites a matching line to its groups behind a mark
-    byte, and no line that starts with that byte can match the pattern.
+    One pass of the pattern; a mark byte stands before each group.  Any other line stays as it
+    is.  No line that starts with the mark byte matches the pattern.
     """
-    rewritten = F.regexp_replace(
-        line, fixed.LOG_LINE, f"{_MARK}$1{_MARK}$2{_MARK}$3{_MARK}$4"
-    )
-    matched = F.startswith(rewritten, F.lit(_MARK)) & ~F.startswith(line, F.lit(_MARK))
-    return F.when(matched, F.split(rewritten, _MARK, 5))
+    return F.regexp_replace(line, fixed.LOG_LINE, f"{_MARK}$1{_MARK}$2{_MARK}$3{_MARK}$4")
+
+
+def plain_parts(line: Column, marked: Column) -> Column:
+    """Array ``['', timestamp, level, service, message]`` of ``marked_groups``, else null."""
+    matched = F.startswith(marked, F.lit(_MARK)) & ~F.startswith(line, F.lit(_MARK))
+    return F.when(matched, F.split(marked, _MARK, 5))
 
 
 def looks_like_json(line: Column) -> Column:
     return F.startswith(F.ltrim(line, F.lit(fixed.WHITESPACE)), F.lit("{"))
 
 
-def json_object(line: Column) -> Column:
-    """The line as a variant, or null when it is not exactly one JSON object.
+def json_pair(line: Column) -> Column:
+    """Variant of the array ``[line, hash of the line]``, or null if that is not valid JSON."""
+    return F.try_parse_json(
+        F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]"))
+    )
+
+
+def json_object(line: Column, pair: Column) -> Column:
+    """The line as a variant, from ``json_pair``; null unless it is exactly one JSON value.
 
     The variant parser ignores text behind the first value.  The line is therefore parsed as
-    the first of two array elements and the second, its own hash, has to come out again.
+    the first of two array elements; the second, its own hash, has to come out again.
     """
-    check = F.xxhash64(line)
-    pair = F.try_parse_json(
-        F.concat(F.lit("["), line, F.lit(","), check.cast("string"), F.lit("]"))
-    )
-    whole = F.try_variant_get(pair, "$[1]", "bigint") == check
+    whole = F.try_variant_get(pair, "$[1]", "bigint") == F.xxhash64(line)
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 

@@ -26,13 +26,17 @@ def clock_text(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm:ss")
 
 
+def without_zone(text: Column) -> Column:
+    """Time text without its trailing ``Z`` and with a decimal point."""
+    return F.replace(F.rtrim(text, F.lit("Z")), F.lit(","), F.lit("."))
+
+
 def parse_log_time(text: Column) -> Column:
     """Time of a plain log line, whose shape the line pattern has already checked.
 
     The zone letter is dropped, not applied; a lower-case one makes the time invalid.
     """
-    plain = F.replace(F.rtrim(text, F.lit("Z")), F.lit(","), F.lit("."))
-    return F.translate(plain, "t", "T").try_cast("timestamp_ntz")
+    return F.replace(without_zone(text), F.lit("t"), F.lit("T")).try_cast("timestamp_ntz")
 
 
 # ISO date with optional time and offset, in extended or basic form.
@@ -44,11 +48,6 @@ _ISO = (
 _ISO_USUAL = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?\z"
 
 
-def without_zone(text: Column) -> Column:
-    """Time text without its trailing ``Z`` and with a decimal point."""
-    return F.replace(F.rtrim(text, F.lit("Z")), F.lit(","), F.lit("."))
-
-
 def parse_iso_time(plain: Column) -> Column:
     """ISO time of a JSON log line, after ``without_zone``.
 

@@ -23,8 +23,8 @@ def _pick(rule: Column, values: Sequence[str]) -> Column:
     return picked
 
 
-def rule_matches(events: DataFrame, rules: Sequence[Rule] = fixed.CAUSE_RULES) -> DataFrame:
-    """One row per event and rule whose keywords occur in its message, at any level."""
+def _rules_hit(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Events with ``_hits``, the array of the rules whose keywords occur in the message."""
     message = F.col("_message")
     hits = F.array_compact(
         F.array(
@@ -34,29 +34,46 @@ def rule_matches(events: DataFrame, rules: Sequence[Rule] = fixed.CAUSE_RULES) -
             )
         )
     )
-    return (
-        events.select("incident_id", *EVENT_ORDER, F.lower("message").alias("_message"))
-        .select("incident_id", *EVENT_ORDER, hits.alias("_hits"))
-        .select("incident_id", *EVENT_ORDER, F.explode("_hits").alias("rule"))
+    lowered = events.select("incident_id", *EVENT_ORDER, F.lower("message").alias("_message"))
+    return lowered.select("incident_id", *EVENT_ORDER, hits.alias("_hits"))
+
+
+def rule_matches(events: DataFrame, rules: Sequence[Rule] = fixed.CAUSE_RULES) -> DataFrame:
+    """One row per event and rule whose keywords occur in its message, at any level."""
+    return _rules_hit(events, rules).select(
+        "incident_id", *EVENT_ORDER, F.explode("_hits").alias("rule")
     )
 
 
-def detect_causes(
-    events: DataFrame,
-    rules: Sequence[Rule] = fixed.CAUSE_RULES,
-    incidents: DataFrame | None = None,
-) -> DataFrame:
+def detect_causes(events: DataFrame, rules: Sequence[Rule] = fixed.CAUSE_RULES) -> DataFrame:
     """The rule with most matching events per incident, with up to three citations.
 
     An event counts once per rule; the earlier rule wins a tie.  Incidents without a match
     come out with a null ``source`` and low confidence.  Counts and first matches are both
-    reduced on the map side, so no task holds an incident's events.
+    reduced on the map side, so no task holds an incident's events.  The events are read twice.
     """
-    matches = rule_matches(events, rules)
-    counts = matches.groupBy("incident_id", "rule").agg(F.count(F.lit(1)).alias("matches"))
+    # Events without a match count under the null rule, which keeps their incident.
+    counts = (
+        _rules_hit(events, rules)
+        .select("incident_id", F.explode_outer("_hits").alias("rule"))
+        .groupBy("incident_id", "rule")
+        .agg(F.count("rule").alias("matches"))
+    )
+    # Most matches first and, among equals, the earlier rule: one number per rule.
+    weight = F.col("matches") * len(rules) + (len(rules) - 1 - F.col("rule"))
+    best = (
+        counts.groupBy("incident_id")
+        .agg(F.max(weight).alias("_weight"))
+        .select(
+            "incident_id",
+            F.floor(F.col("_weight") / len(rules)).alias("matches"),
+            (len(rules) - 1 - F.col("_weight") % len(rules)).alias("rule"),
+        )
+    )
     early = Window.partitionBy("incident_id", "rule").orderBy(*EVENT_ORDER)
     citations = (
-        matches.withColumn("_rank", F.row_number().over(early))
+        rule_matches(events, rules)
+        .withColumn("_rank", F.row_number().over(early))
         .filter(F.col("_rank") <= CITATIONS)
         .groupBy("incident_id", "rule")
         .agg(
@@ -69,15 +86,12 @@ def detect_causes(
             ).alias("citations")
         )
     )
-    best = counts.groupBy("incident_id").agg(
-        F.max(F.struct(F.col("matches"), (-F.col("rule")).alias("_priority"))).alias("_best")
-    ).select("incident_id", "_best.matches", (-F.col("_best._priority")).alias("rule"))
-    known = best.join(citations, ["incident_id", "rule"])
-    everyone = (incidents if incidents is not None else events).select("incident_id").distinct()
-    return everyone.join(known, "incident_id", "left").select(
+    found = best.join(citations, ["incident_id", "rule"], "left")
+    return found.select(
         "incident_id",
-        F.coalesce(_pick(F.col("rule"), [rule[0] for rule in rules]),
-                   F.lit(fixed.UNKNOWN_CAUSE)).alias("cause"),
+        F.coalesce(
+            _pick(F.col("rule"), [rule[0] for rule in rules]), F.lit(fixed.UNKNOWN_CAUSE)
+        ).alias("cause"),
         _pick(F.col("rule"), [rule[1] for rule in rules]).alias("source"),
         F.coalesce("matches", F.lit(0)).alias("matches"),
         F.coalesce("citations", F.lit(fixed.UNKNOWN_CAUSE_CITATION)).alias("citations"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     line = F.col("raw_line")
     fields = tuple(fixed.JSON_FIELDS)
-    steps = lines.filter(text.strip(line) != "")
+    steps = lines.filter(text.strip_start(line) != "")
+    steps = steps.withColumn("_braced", parsing.looks_like_json(line))
     steps = steps.withColumns(
         {
-            "_json": F.when(parsing.looks_like_json(line), parsing.json_object(line)),
-            "_parts": F.when(~parsing.looks_like_json(line), parsing.plain_parts(line)),
+            "_pair": F.when(F.col("_braced"), parsing.json_pair(line)),
+            "_marked": F.when(~F.col("_braced"), parsing.marked_groups(line)),
+        }
+    )
+    steps = steps.withColumns(
+        {
+            "_json": parsing.json_object(line, F.col("_pair")),
+            "_parts": parsing.plain_parts(line, F.col("_marked")),
         }
     )
     steps = steps.withColumns(
@@ -116,15 +124,32 @@ def redact_columns(frame: DataFrame, columns: Iterable[str], counts: str) -> Dat
     """Mask e-mail addresses, IPv4-shaped numbers, bearer tokens, tokens and secrets.
 
     Every pattern works on the output of the one before.  ``counts`` becomes the largest
-    number of replacements made in one of the columns.  Replacements are only counted where a
-    text changed or already held a mask, so most texts pay for one scan per pattern.
+    number of replacements made in one of the columns.
+
+    A pattern only runs on texts that hold the literals it cannot match without, and its matches
+    are only counted where the text changed or already held a mask.
     """
     names = list(columns)
-    staged = frame.withColumns({f"_{name}_0": F.col(name) for name in names})
+    staged = frame.withColumns(
+        {
+            **{f"_{name}_0": F.col(name) for name in names},
+            **{f"_{name}_lower": F.lower(name) for name in names},
+        }
+    )
+    staged = staged.withColumns(
+        {
+            f"_{name}_may_{step}": _may_match(F.col(f"_{name}_lower"), needed)
+            for name in names
+            for step, needed in enumerate(fixed.REDACTION_LITERALS, start=1)
+        }
+    )
     for step, (pattern, replacement) in enumerate(fixed.REDACTIONS, start=1):
         staged = staged.withColumns(
             {
-                f"_{name}_{step}": F.regexp_replace(f"_{name}_{step - 1}", pattern, replacement)
+                f"_{name}_{step}": F.when(
+                    F.col(f"_{name}_may_{step}"),
+                    F.regexp_replace(f"_{name}_{step - 1}", pattern, replacement),
+                ).otherwise(F.col(f"_{name}_{step - 1}"))
                 for name in names
             }
         )
@@ -134,7 +159,10 @@ def redact_columns(frame: DataFrame, columns: Iterable[str], counts: str) -> Dat
         for step, (pattern, _) in enumerate(fixed.REDACTIONS, start=1):
             before, after = F.col(f"_{name}_{step - 1}"), F.col(f"_{name}_{step}")
             touched = (before != after) | F.contains(before, F.lit(fixed.REDACTION_MARK))
-            total = total + F.when(touched, F.regexp_count(before, F.lit(pattern))).otherwise(0)
+            counted = F.when(
+                F.col(f"_{name}_may_{step}") & touched, F.regexp_count(before, F.lit(pattern))
+            )
+            total = total + counted.otherwise(0)
         return total
 
     last = len(fixed.REDACTIONS)
@@ -145,6 +173,12 @@ def redact_columns(frame: DataFrame, columns: Iterable[str], counts: str) -> Dat
     return pinned(staged, masked).select(*order)
 
 
+def _may_match(lowered: Column, needed: Iterable[Iterable[str]]) -> Column:
+    """Whether the text holds at least one literal of every group."""
+    tests = [text.contains_any(lowered, literals) for literals in needed]
+    return reduce(lambda left, right: left & right, tests)
+
+
 def redact_events(events: DataFrame, enabled: bool = True) -> DataFrame:
     """Mask message and raw line; ``redactions`` is the larger of the two counts.
 

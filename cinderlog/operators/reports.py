@@ -89,32 +89,22 @@ def signatures(
     An incident of more than ``part_lines`` lines is hashed part by part and its signature is
     the SHA-256 over the name and the parts' digests, so that no task has to hold it whole.
     """
-    texts = assemble(events, ["incident_id"], EVENT_ORDER, "raw_line", "\n", part_lines)
-    names = events.groupBy("incident_id").agg(F.min(source_name).alias("source_name"))
+    named = events.withColumn("source_name", source_name)
+    keys = ["incident_id", "source_name"]
+    texts = assemble(named, keys, EVENT_ORDER, "raw_line", "\n", part_lines)
+    single = F.col("parts") == 1
     digests = texts.select(
-        "incident_id", "part", "parts", F.when(F.col("parts") == 1, F.col("raw_line")).alias("_only"),
-        F.when(F.col("parts") > 1, F.sha2("raw_line", 256)).alias("_digest"),
-    )
-    payload = F.coalesce(
-        F.max("_only"),
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.when(F.col("parts") > 1, F.struct("part", "_digest")))
-                ),
-                lambda item: item["_digest"],
-            ),
-            "\n",
-        ),
+        *keys,
+        F.when(single, F.col("raw_line")).alias("_only"),
+        F.when(~single, F.struct("part", F.sha2("raw_line", 256).alias("digest"))).alias("_part"),
     )
+    parts = F.transform(F.array_sort(F.collect_list("_part")), lambda item: item["digest"])
+    payload = F.coalesce(F.max("_only"), F.array_join(parts, "\n"))
     return (
-        digests.groupBy("incident_id")
+        digests.groupBy(*keys)
         .agg(payload.alias("_payload"))
-        .join(names, "incident_id")
         .select(
-            "incident_id",
-            "source_name",
-            F.sha2(F.concat_ws("\n", "source_name", "_payload"), 256).alias("signature"),
+            *keys, F.sha2(F.concat_ws("\n", "source_name", "_payload"), 256).alias("signature")
         )
     )
 
@@ -161,7 +151,7 @@ def utc_now() -> Column:
 
 
 def upsert_reports(reports: DataFrame, rows: DataFrame) -> DataFrame:
-    """Merge report rows by signature.
+    """Merge report rows by signature.  Both frames are read more than once.
 
     A known signature keeps its id, counts and window and takes the new time and text; a new
     one gets the next free id, in order of name and signature.

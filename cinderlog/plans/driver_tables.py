@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlog.functions.stages import pinned
 from cinderlog.operators import events as event_ops
+from cinderlog.sources.staging import stage
 
 
 def events_sql(dialect: str) -> str:
@@ -170,6 +172,14 @@ class DriverTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, frame: DataFrame) -> DataFrame:
+        """Use all cores on a table that is stored in fewer pieces than there are cores.
+
+        A large table already comes in more pieces and is left as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
     def sql(self, text: str, *names: str) -> DataFrame:
         """Run SQL straight over the Parquet files of the named tables."""
         for name in names:
@@ -177,9 +187,10 @@ class DriverTables:
         return self.spark.sql(text)
 
     def log_lines(self) -> DataFrame:
-        return self.sql(events_sql("spark"), "events").select(
+        lines = self.sql(events_sql("spark"), "events").select(
             "incident_id", "line_number", "raw_line"
         )
+        return self.spread(pinned(lines, {"raw_line": F.col("raw_line")}))
 
     def parsed(self) -> DataFrame:
         return event_ops.parse_lines(self.log_lines())
@@ -187,6 +198,13 @@ class DriverTables:
     def events(self) -> DataFrame:
         return event_ops.events_of(self.parsed())
 
+    def staged_events(self) -> DataFrame:
+        """The events as a table, for queries that read them more than once."""
+        return stage(self.events(), "events")
+
+    def texts(self) -> DataFrame:
+        return self.spread(self.table("documents").select("doc_id", "text"))
+
     def documents(self) -> DataFrame:
         """Documents with blank lines between their lines and a heading at every fifth."""
         lines = F.transform(
@@ -198,7 +216,7 @@ class DriverTables:
                 ),
             ).otherwise(line),
         )
-        return self.table("documents").select(
+        return self.texts().select(
             F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"),
             F.array_join(lines, "\n\n").alias("text"),
         )

@@ -24,6 +24,7 @@ from cinderlog.operators import (
 )
 from cinderlog.plans.driver_tables import DriverTables
 from cinderlog.session import configure
+from cinderlog.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,15 +89,14 @@ def redaction_totals(t: DriverTables) -> DataFrame:
 
 @query
 def redact_documents(t: DriverTables) -> DataFrame:
-    texts = t.table("documents").select("doc_id", "text")
-    return events.redact_columns(texts, ["text"], "redactions").select(
+    return events.redact_columns(t.texts(), ["text"], "redactions").select(
         "doc_id", F.md5("text").alias("text_md5"), F.col("redactions").cast("bigint")
     )
 
 
 @query
 def redact_pages(t: DriverTables) -> DataFrame:
-    pages = t.table("pages").select("page_id", "html")
+    pages = t.spread(t.table("pages").select("page_id", "html"))
     return events.redact_columns(pages, ["html"], "redactions").select(
         "page_id", F.md5("html").alias("html_md5"), F.col("redactions").cast("bigint")
     )
@@ -185,7 +185,7 @@ def cause_matches(t: DriverTables) -> DataFrame:
 
 @query
 def detect_cause(t: DriverTables) -> DataFrame:
-    return causes.detect_causes(t.events())
+    return causes.detect_causes(t.staged_events())
 
 
 @query
@@ -388,7 +388,7 @@ def _incident_evidence(t: DriverTables) -> DataFrame:
 
 @query
 def analysis_prompt(t: DriverTables) -> DataFrame:
-    built = prompts.analysis_prompts(t.events(), _incident_evidence(t))
+    built = prompts.analysis_prompts(t.staged_events(), _incident_evidence(t))
     return _bigints(built, "part", "parts").select("incident_id", "part", "parts", "prompt")
 
 
@@ -451,7 +451,7 @@ def action_texts(t: DriverTables) -> DataFrame:
 
 @query
 def quick_report(t: DriverTables) -> DataFrame:
-    return _bigints(reports.quick_reports(t.events(), t.index()), "part", "parts")
+    return _bigints(reports.quick_reports(t.staged_events(), t.index()), "part", "parts")
 
 
 def _masked(t: DriverTables) -> DataFrame:
@@ -469,11 +469,13 @@ def report_signature(t: DriverTables) -> DataFrame:
 
 def _report_tables(t: DriverTables) -> tuple[DataFrame, DataFrame]:
     """A report table with the incidents of many criticals, and rows of all incidents."""
-    masked = _masked(t)
+    masked = stage(_masked(t), "masked")
     texts = causes.detect_causes(masked).select(
         "incident_id", F.col("cause").alias("analysis_markdown")
     )
-    rows = reports.report_rows(masked, texts, F.lit(CREATED_NOW), _source_name())
+    rows = stage(
+        reports.report_rows(masked, texts, F.lit(CREATED_NOW), _source_name()), "report-rows"
+    )
     counts = metrics.incident_metrics(masked).filter("critical * 4 > errors")
     known = rows.join(
         counts.select(F.concat("incident_id", F.lit(".log")).alias("source_name")),
@@ -490,7 +492,7 @@ def _report_tables(t: DriverTables) -> tuple[DataFrame, DataFrame]:
         F.lit("earlier text").alias("analysis_markdown"),
     )
     empty = t.spark.createDataFrame([], reports.REPORTS)
-    return reports.upsert_reports(empty, old), rows
+    return stage(reports.upsert_reports(empty, old), "reports"), rows
 
 
 @query

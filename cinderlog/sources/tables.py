@@ -129,11 +129,13 @@ def save_reports(rows: DataFrame, path: str) -> DataFrame:
 
 
 def export_markdown(reports: DataFrame, path: str, key: str = "id") -> None:
-    """Write one Markdown text file per report, in a folder named by the report's key."""
+    """Write one Markdown text file per report, in a folder named by the report's key.
+
+    A file ends in a line feed behind the text.
+    """
     (
         reports.select(F.col(key).alias("report_id"), F.col("analysis_markdown").alias("value"))
         .write.mode("overwrite")
-        .option("lineSep", "")
         .partitionBy("report_id")
         .text(path)
     )

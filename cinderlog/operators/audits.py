@@ -20,6 +20,7 @@ from cinderlog.functions.text import (
 )
 from cinderlog.operators.events import serious
 from cinderlog.operators.metrics import first_serious
+from cinderlog.operators.ordering import UNMATCHED
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 
@@ -103,7 +104,10 @@ def audit_citations(answers: DataFrame, events: DataFrame) -> DataFrame:
         .distinct()
         .select("incident_id", F.col("line_number").alias("_line"), F.lit(True).alias("_found"))
     )
-    checked = labels.join(found, ["incident_id", "_line"], "left").withColumn(
+    # Labels without a line get negative numbers, which match nothing and spread over all tasks.
+    spread = -F.shiftrightunsigned(F.xxhash64("answer_id", "_pos"), 1) - 1
+    keyed = labels.withColumn("_line", F.coalesce("_line", spread))
+    checked = keyed.join(found, ["incident_id", "_line"], "left").withColumn(
         "_valid",
         F.coalesce("_found", F.lit(False))
         | F.coalesce(F.col("_chunk").between(F.lit(1), F.col("chunk_count")), F.lit(False)),
@@ -202,13 +206,21 @@ def audit_claims(answers: DataFrame, events: DataFrame) -> DataFrame:
 
     A definition question has no log evidence, so there any status is unsupported.
     """
-    claimed = claim_texts(
+    flat = claim_texts(
         answers.select("answer_id", "incident_id", "include_logs", "answer")
     ).select(
         "answer_id",
-        F.when(F.col("include_logs"), F.col("incident_id")).alias("incident_id"),
+        "incident_id",
+        "include_logs",
         F.explode_outer(http_statuses(F.col("answer"))).alias("status"),
     )
+    claimed = flat.select(
+        "answer_id",
+        "status",
+        F.when(F.col("include_logs") & F.col("status").isNotNull(), F.col("incident_id"))
+        .otherwise(F.concat(F.lit(UNMATCHED), F.col("answer_id").cast("string")))
+        .alias("incident_id"),
+    )
     supported = incident_statuses(events).withColumn("_supported", F.lit(True))
     return (
         claimed.join(supported, ["incident_id", "status"], "left")

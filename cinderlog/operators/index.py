@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cinderlog import fixed_values as fixed
 from cinderlog.operators.chunks import chunk_documents, embedding_text
-from cinderlog.operators.ordering import with_position
+from cinderlog.operators.ordering import with_total_before
+from cinderlog.sources.staging import broadcast_if_small, stage
 
 # Takes a frame with a ``text`` column and adds ``embedding array<float>``.
 Embedder = Callable[[DataFrame], DataFrame]
@@ -23,10 +24,27 @@ def embed_chunks(chunks: DataFrame, embed: Embedder) -> DataFrame:
 
 
 def build_index(documents: DataFrame, embed: Embedder, first_id: int = 1) -> DataFrame:
-    """Chunk, embed and number whole documents, in order of source and position."""
-    embedded = embed_chunks(chunk_documents(documents), embed)
-    numbered = with_position(embedded, [], ["source", "position"], "_number")
-    return numbered.withColumn("id", F.col("_number") + (first_id - 1)).select(*COLUMNS)
+    """Chunk, embed and number whole documents, in order of source and position.
+
+    Ids come from the chunk counts of the sources before, so only (source, count) rows are
+    sorted: the texts stay where they are read when the counts are few enough to broadcast, and
+    are shuffled once by source otherwise.  Every chunk is embedded once.
+    """
+    counts = (
+        chunk_documents(documents)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("_chunks"))
+    )
+    offsets = stage(
+        with_total_before(counts, ["source"], "_chunks", "_before").select("source", "_before"),
+        "source-offsets",
+    )
+    numbered = (
+        chunk_documents(documents)
+        .join(broadcast_if_small(offsets), "source")
+        .withColumn("id", F.col("_before") + F.col("position") + (first_id - 1))
+    )
+    return embed_chunks(numbered, embed).select(*COLUMNS)
 
 
 def replace_sources(index: DataFrame, new_chunks: DataFrame) -> DataFrame:

@@ -15,10 +15,27 @@ from pyspark.sql import functions as F
 
 from cinderlog.sources.staging import broadcast_if_small, stage
 
+# Begins the join keys of rows that are meant to match nothing.  A null key would do as well,
+# but all null keys meet in one task.
+UNMATCHED = "\x00"
 # Lines that make one part of an assembled text.
 PART_LINES = 100_000
 
 
+def _in_order(frame: DataFrame, sort_keys: Sequence[Column]) -> DataFrame:
+    """The rows sorted over all partitions and staged, with ``_slot`` (place) and ``_range``."""
+    return stage(
+        frame.repartitionByRange(*sort_keys)
+        .sortWithinPartitions(*sort_keys)
+        .withColumn("_slot", F.monotonically_increasing_id()),
+        "ordered",
+    ).withColumn("_range", F.shiftright("_slot", 33))
+
+
+def _columns(items: Sequence[str | Column]) -> list[Column]:
+    return [F.col(item) if isinstance(item, str) else item for item in items]
+
+
 def with_position(
     frame: DataFrame,
     keys: Sequence[str],
@@ -29,17 +46,10 @@ def with_position(
     """Number the rows of every group from 1 in the given order, without empty numbers.
 
     ``total``, if named, receives the group's row count.  The order should be unique in a
-    group.  No group ever has to fit into one task.
+    group.  No group ever has to fit into one task.  The frame is read twice, once to find the
+    range bounds, so an expensive one should be staged first.
     """
-    sort_keys = [F.col(key) for key in keys] + [
-        F.col(item) if isinstance(item, str) else item for item in order
-    ]
-    sorted_rows = stage(
-        frame.repartitionByRange(*sort_keys)
-        .sortWithinPartitions(*sort_keys)
-        .withColumn("_slot", F.monotonically_increasing_id()),
-        "ordered",
-    ).withColumn("_range", F.shiftright("_slot", 33))
+    sorted_rows = _in_order(frame, _columns([*keys, *order]))
     runs = sorted_rows.groupBy(*keys, "_range").agg(
         F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
@@ -64,6 +74,33 @@ def with_position(
     return numbered.select(*frame.columns, *added)
 
 
+def with_total_before(
+    frame: DataFrame, order: Sequence[str | Column], weight: str, before: str
+) -> DataFrame:
+    """Add the sum of ``weight`` over all rows that come earlier in the order."""
+    sorted_rows = _in_order(frame, _columns(order))
+    # One row per range partition.
+    sums = sorted_rows.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    ranges = Window.partitionBy(F.lit(0)).orderBy("_range")
+    starts = stage(
+        sums.select(
+            "_range",
+            F.coalesce(
+                F.sum("_sum").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias("_start"),
+        ),
+        "starts",
+    )
+    # One range partition's rows at a time.
+    inside = Window.partitionBy("_range").orderBy("_slot")
+    earlier = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        sorted_rows.withColumn("_inside", F.coalesce(earlier, F.lit(0)))
+        .join(broadcast_if_small(starts), "_range")
+        .select(*frame.columns, (F.col("_start") + F.col("_inside")).alias(before))
+    )
+
+
 def assemble(
     lines: DataFrame,
     keys: Sequence[str],

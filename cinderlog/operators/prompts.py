@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import needs_log_context, strip
 from cinderlog.operators.evidence import log_evidence, runbook_evidence
-from cinderlog.operators.ordering import PART_LINES, wrap
+from cinderlog.operators.ordering import PART_LINES, UNMATCHED, wrap
 
 
 def analysis_prompts(
@@ -53,8 +53,14 @@ def qa_prompts(
         questions.select("question_id", "incident_id", "question")
         .withColumn("_needs", needs_log_context(F.col("question")))
         .join(runbook_evidence(evidence, "question_id"), "question_id", "left")
-        # Only a question about the incident meets the incident's evidence in the join.
-        .withColumn("_log_key", F.when(F.col("_needs"), F.col("incident_id")))
+        # Only a question about the incident meets the incident's evidence in the join; the
+        # others get keys of their own, which match nothing and spread over all tasks.
+        .withColumn(
+            "_log_key",
+            F.when(F.col("_needs"), F.col("incident_id")).otherwise(
+                F.concat(F.lit(UNMATCHED), F.col("question_id").cast("string"))
+            ),
+        )
     )
     logs = log_evidence(events, part_lines).select(
         F.col("incident_id").alias("_log_key"), "part", "parts", F.col("evidence").alias("prompt")

@@ -56,7 +56,8 @@ def quick_reports(
     """Markdown report of every incident: ``(incident_id, part, parts, analysis_markdown)``."""
     sources = [rule[1] for rule in fixed.CAUSE_RULES]
     actions = action_texts(index.filter(F.col("source").isin(*sources)))
-    incidents = detect_causes(events).join(actions, "source", "left")
+    # At most one row per rule.  A shuffle join would bring all incidents of one cause together.
+    incidents = detect_causes(events).join(F.broadcast(actions), "source", "left")
     line = F.concat(
         F.format_string("- **%s — %s:** ", times.clock_text(F.col("ts")), "service"),
         "message",

@@ -155,7 +155,7 @@ def verified_evidence(t: DriverTables) -> DataFrame:
 
 @query
 def failure_chain(t: DriverTables) -> DataFrame:
-    return _bigints(metrics.failure_chain(t.events()), "step")
+    return _bigints(metrics.failure_chain(t.staged_events()), "step")
 
 
 @query
@@ -365,12 +365,12 @@ def optional_cases(t: DriverTables) -> DataFrame:
 
 @query
 def incident_query(t: DriverTables) -> DataFrame:
-    return _bigints(evidence.incident_queries(t.events()), "part", "parts")
+    return _bigints(evidence.incident_queries(t.staged_events()), "part", "parts")
 
 
 @query
 def log_evidence(t: DriverTables) -> DataFrame:
-    return _bigints(evidence.log_evidence(t.events()), "part", "parts")
+    return _bigints(evidence.log_evidence(t.staged_events()), "part", "parts")
 
 
 @query
@@ -395,7 +395,7 @@ def analysis_prompt(t: DriverTables) -> DataFrame:
 @query
 def qa_prompt(t: DriverTables) -> DataFrame:
     found = retrieval.retrieve(t.question_vectors(), t.vectors())
-    built = prompts.qa_prompts(t.questions(), t.events(), found)
+    built = prompts.qa_prompts(t.questions(), t.staged_events(), found)
     return _bigints(built, "part", "parts").select("question_id", "part", "parts", "prompt")
 
 
@@ -464,7 +464,7 @@ def _source_name() -> F.Column:
 
 @query
 def report_signature(t: DriverTables) -> DataFrame:
-    return reports.signatures(_masked(t), _source_name())
+    return reports.signatures(stage(_masked(t), "masked"), _source_name())
 
 
 def _report_tables(t: DriverTables) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,8 @@ LOG_LINE = (
     r"(\d{4}-\d{2}-\d{2}[T ][0-2]\d:[0-5]\d:[0-5]\d(?:[.,]\d{1,6})?Z?)"
     r"[\s\x1C-\x1F]+\[?(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\]?"
     r"[\s\x1C-\x1F]+\[?([A-Za-z0-9_.-]+)\]?"
-    r"[\s\x1C-\x1F]*[-:]?[\s\x1C-\x1F]*(.+?)[\s\x1C-\x1F]*$"
+    # The message runs to the last character that is not whitespace, if there is one.
+    r"[\s\x1C-\x1F]*[-:]?[\s\x1C-\x1F]*(.*[^\s\x1C-\x1F]|.)[\s\x1C-\x1F]*$"
 )
 
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")

@@ -58,11 +58,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "_message": either("message", 4),
         }
     )
+    # Only a JSON line can have a blank service, and only there a blank message is refused.
+    worded = (text.strip_start(F.col("_service")) != "") & (
+        text.strip_start(F.col("_message")) != ""
+    )
     complete = (
         F.col("_ts").isNotNull()
         & F.col("_level").isNotNull()
-        & (text.strip(F.col("_service")) != "")
-        & (text.strip(F.col("_message")) != "")
+        & F.col("_message").isNotNull()
+        & (~is_json | worded)
     )
     steps = steps.withColumn("_complete", F.coalesce(complete, F.lit(False)))
 

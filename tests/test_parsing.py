@@ -121,6 +121,56 @@ def test_quirks_of_the_line_pattern(lines):
     assert [row["status"] for row in rows[2:]] == ["rejected"] * 3
 
 
+def test_blank_message(lines):
+    rows = parsed(
+        lines,
+        "2026-08-06 14:03:12 ERROR svc -   ",
+        "2026-08-06 14:03:12 ERROR svc -",
+        '{"time":"2026-08-06 14:03:12","level":"INFO","service":"s","message":" "}',
+    )
+    assert [row["message"] for row in rows] == [" ", "-", None]
+
+
+# The line format, stated as a Python pattern.
+FORMAT = re.compile(
+    r"\s*(\d{4}-\d\d-\d\d[T ][0-2]\d:[0-5]\d:[0-5]\d(?:[.,]\d{1,6})?Z?)"
+    r"\s+\[?(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\]?\s+\[?([\w.-]+)\]?"
+    r"\s*[-:]?\s*(\S|\S.*\S|\s)\s*",
+    re.IGNORECASE | re.ASCII,
+)
+LINE_PIECES = st.sampled_from(
+    ["2026-08-06 14:03:12", "2026-08-06T14:03:12.5Z", " ", "  ", "\t", "ERROR", "[warn]", "[", "]",
+     "svc", "[a.b-c]", "-", ":", "x", "message text", "info", "FATAL"]
+)
+STARTS = st.sampled_from(["2026-08-06 14:03:12 ERROR", "2026-08-06 14:03:12,1 [Warn] ", ""])
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.lists(
+        st.tuples(STARTS, st.lists(LINE_PIECES, min_size=1, max_size=8)).map(
+            lambda parts: parts[0] + "".join(parts[1])
+        ),
+        min_size=60,
+        max_size=80,
+    )
+)
+def test_plain_lines_follow_the_format(spark, texts):
+    rows = spark.createDataFrame(
+        [("a", number, text) for number, text in enumerate(texts)],
+        "incident_id string, line_number long, raw_line string",
+    )
+    found = {row.line_number: row for row in events.parse_lines(rows).collect()}
+    for number, text in enumerate(texts):
+        match = FORMAT.fullmatch(text)
+        if not text.strip():
+            assert number not in found
+        elif match is None:
+            assert found[number].status == "rejected"
+        else:
+            assert (found[number].service, found[number].message) == match.group(3, 4)
+
+
 def test_no_lines(lines, spark):
     empty = spark.createDataFrame([], lines(a=["x"]).schema)
     assert events.parse_lines(empty).count() == 0

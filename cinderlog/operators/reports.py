@@ -12,6 +12,7 @@ from cinderlog.operators.events import EVENT_ORDER
 from cinderlog.operators.metrics import event_window, first_seen
 from cinderlog.operators.ordering import PART_LINES, assemble, with_position, wrap
 from cinderlog.schemas import REPORTS
+from cinderlog.sources.staging import broadcast_if_small, stage
 
 SIGNATURE_LINES = 250_000
 FALLBACK_CHUNKS = 2
@@ -57,7 +58,8 @@ def quick_reports(
     sources = [rule[1] for rule in fixed.CAUSE_RULES]
     actions = action_texts(index.filter(F.col("source").isin(*sources)))
     # At most one row per rule.  A shuffle join would bring all incidents of one cause together.
-    incidents = detect_causes(events).join(F.broadcast(actions), "source", "left")
+    texts = broadcast_if_small(stage(actions, "actions"))
+    incidents = detect_causes(events).join(texts, "source", "left")
     line = F.concat(
         F.format_string("- **%s — %s:** ", times.clock_text(F.col("ts")), "service"),
         "message",

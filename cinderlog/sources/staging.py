@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -37,11 +40,18 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def broadcast_if_small(frame: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast when the frame is counted to hold at most ``max_rows`` rows.
+def broadcast_if_small(frame: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the rows are measured to take at most ``max_bytes``.
 
-    Meant for narrow tables (keys and numbers).  A longer one is left to the planner, which
-    then joins by shuffle.  The frame is staged or read from a table, so counting is cheap.
+    Strings count with their length and other values with 16 bytes.  A larger frame is left to
+    the planner, which then joins by shuffle.  The frame should be a staged or stored table, so
+    that measuring it is cheap.
     """
-    fits = frame.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(frame) if fits else frame
+    sizes = [
+        F.coalesce(F.octet_length(field.name), F.lit(0))
+        if field.dataType.typeName() == "string"
+        else F.lit(16)
+        for field in frame.schema
+    ]
+    total = frame.agg(F.sum(reduce(add, sizes))).first()[0] or 0
+    return F.broadcast(frame) if total <= max_bytes else frame

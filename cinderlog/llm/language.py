@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm.batches import rounds
+from cinderlog.sources.staging import broadcast_if_small, stage
 
 UNKNOWN = "und"
 # Hashed counts of two- and three-byte runs.
@@ -122,10 +123,19 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
         F.col("text").rlike(r"\p{L}")
     )
     keyed = known.select("lang", F.xxhash64("text").alias("_key"), middle.alias("_text"))
+    # Roughly three times the sample by the hash alone, so that no task ranks a whole language.
+    counts = keyed.groupBy("lang").agg(F.approx_count_distinct("_key").alias("_texts"))
+    chance = F.shiftrightunsigned("_key", 11).cast("double") * F.lit(2.0**-53)
+    few = (
+        keyed.join(broadcast_if_small(stage(counts, "language-counts")), "lang")
+        .where(chance * F.col("_texts") < F.lit(3.0 * sample + 30))
+        .groupBy("lang", "_key")
+        .agg(F.min("_text").alias("_text"))
+    )
     first = Window.partitionBy("lang").orderBy("_key")
     rows = (
-        keyed.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= sample)
-        .dropDuplicates(["lang", "_key"])
+        few.withColumn("_place", F.row_number().over(first))
+        .where(F.col("_place") <= sample)
         .sort("lang", "_key")
         .select("lang", "_text")
         .collect()

@@ -13,6 +13,7 @@ from cinderlog.llm import (
     language,
     mixing,
     quality,
+    repeats,
     rules,
     secrets,
     simhash,
@@ -80,6 +81,20 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    removed = F.aggregate(
+        "removed", F.lit(0).cast("long"), lambda sum_, span: sum_ + span["end"] - span["start"]
+    )
+    return repeats.remove_repeats(documents).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -131,6 +146,7 @@ QUERIES: dict[str, Query] = {
         op3_quality_classifier,
         op4_decontamination,
         op5_quality_rules,
+        op6_repeats,
         op7_simhash,
         op8_url_filters,
         op9_secrets,

@@ -176,7 +176,7 @@ def learn_cutoffs(
 
     def choose(cutoffs: list[float]):
         @F.udf("double")
-        def chosen(counts: list[int], total: int) -> float | None:
+        def chosen(counts, total):
             return strictest(counts, cutoffs, total, limit, each)
 
         return chosen

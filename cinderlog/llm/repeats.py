@@ -142,13 +142,14 @@ def _bins(texts: DataFrame, size: int, length: int) -> DataFrame:
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.to_pydict() if ranged else None
             held, count = [], 0
             for k in range(batch.num_rows):
                 row, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 ranges = None
-                if columns is not None:
-                    ranges = np.array(columns["ranges"][k], dtype=np.int64).reshape(-1, 3).T
+                if ranged:
+                    # A list of lists of three numbers, flat below.
+                    flat = batch.column(2)[k].values.flatten()
+                    ranges = flat.to_numpy(zero_copy_only=False).reshape(-1, 3).T
                 bins = bins_of(text, ranges, size, length)
                 held.append(np.vstack([bins[:2], np.full((1, bins.shape[1]), row), bins[2:]]))
                 count += bins.shape[1]
@@ -160,7 +161,7 @@ def _bins(texts: DataFrame, size: int, length: int) -> DataFrame:
 
     columns = [F.col("row"), F.col("text").cast("binary").alias("text")]
     if ranged:
-        columns.append(F.flatten("ranges").alias("ranges"))
+        columns.append(F.col("ranges"))
     return texts.select(*columns).mapInArrow(emitted, _BINS_TYPE)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.batches import rounds
+from cinderlog.llm.batches import arrow_udf, rounds
 from cinderlog.sources.staging import stage
 
 WINDOW = 10
@@ -213,10 +213,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return union
 
 
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+
+
+def _block_count(items: DataFrame, block_words: int) -> int:
+    total = items.agg(F.sum(F.size(F.coalesce(_words("text"), F.array().cast("array<string>"))))).first()[0]
+    return max(1, -(-(total or 0) // block_words))
+
+
 def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes], int]]]:
     """The items' words in blocks of about ``block_words``, as input of an automaton."""
-    lowered = F.translate("text", _UPPER, _LOWER)
-    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    words = _words("text")
     listed = items.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), words.alias("words")
     )
@@ -224,8 +232,7 @@ def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[lis
     pieces = listed.where(F.size("words") > 0).select(
         "name", F.size("words").alias("whole"), "words", F.explode(starts).alias("start")
     ).select("name", "whole", F.slice("words", F.col("start") + 1, F.lit(PIECE_WORDS)).alias("words"))
-    total = listed.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+    blocks = _block_count(items, block_words)
     for block in range(blocks):
         own = F.pmod(F.xxhash64("name", "words"), F.lit(blocks)) == block
         rows = pieces.where(own).distinct().sort("name", "words").toLocalIterator()
@@ -233,7 +240,8 @@ def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[lis
 
 
 _FOUND = (
-    "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, end: bigint>>>"
+    "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, end: bigint>>, "
+    "cleaned: string>"
 )
 _ARROW = pa.struct(
     [
@@ -241,41 +249,34 @@ _ARROW = pa.struct(
         ("n_hit", pa.int64()),
         ("items", pa.list_(pa.string())),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ("cleaned", pa.string()),
     ]
 )
 
 
-def _find(automaton: SuffixAutomaton, text: Column) -> Column:
+def _find(automaton: SuffixAutomaton, text: Column, most_hit: float | None = None) -> Column:
+    """What is hit; with ``most_hit``, also the cleaned text where no more than that is hit."""
+
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
             for texts in rounds(batch):
-                for count, spans, names in automaton.match(texts):
+                for value, (count, spans, names) in zip(texts, automaton.match(texts)):
+                    hit = sum(end - start for start, end in spans)
+                    clean = most_hit is not None and 0 < hit <= most_hit * count
                     out.append(
                         {
                             "n_words": count,
-                            "n_hit": sum(end - start for start, end in spans),
+                            "n_hit": hit,
                             "items": sorted(names),
                             "spans": [{"start": start, "end": end} for start, end in spans],
+                            "cleaned": automaton.cleaned(value).decode() if clean else None,
                         }
                     )
             yield pa.array(out, type=_ARROW)
 
     found.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(found, _FOUND)(text.cast("binary"))
-
-
-def _clean(automaton: SuffixAutomaton, text: Column) -> Column:
-    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
-            for texts in rounds(batch):
-                for text, (_, spans, _) in zip(texts, automaton.match(texts)):
-                    out.append(automaton.cleaned(text) if spans else text)
-            yield pa.array([value.decode("utf-8") for value in out], type=pa.string())
-
-    cleaned.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(cleaned, "string")(text.cast("binary"))
+    return arrow_udf(found, _FOUND)(text.cast("binary"))
 
 
 def _joined(first: Column, second: Column) -> Column:
@@ -300,6 +301,7 @@ def _joined(first: Column, second: Column) -> Column:
         hit.alias("n_hit"),
         F.array_sort(F.array_union(first["items"], second["items"])).alias("items"),
         union.alias("spans"),
+        F.lit(None).cast("string").alias("cleaned"),
     )
 
 
@@ -309,14 +311,16 @@ def find_contamination(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     found: str = "contamination",
+    most_hit: float | None = None,
 ) -> DataFrame:
-    """Add the struct column ``found``: ``n_words, n_hit, items, spans``.
+    """Add the struct column ``found``: ``n_words, n_hit, items, spans, cleaned``.
 
     ``documents`` has ``text``; ``items`` has ``item_id, text``.  Both are lower-cased (A-Z) and cut
     into words of letters, digits and non-ASCII.  A document word is hit if it is inside an occurrence
     of ``window`` consecutive words of an item, or of a whole item that has fewer.  ``items`` are
     the ids of items with such an occurrence, sorted as strings; ``spans`` the runs of hit
-    words, end exclusive.
+    words, end exclusive.  ``cleaned`` is null, unless ``most_hit`` is given, there is a single block of
+    items, and the text has hits but no larger part of it is hit: it is then the text without them.
 
     A null or empty text has no words and nothing hits it; items without words are ignored and an item
     without id is named ``null``.  Rows that repeat an item id count as one item.  A column
@@ -328,7 +332,7 @@ def find_contamination(
     names: list[str] = []
     for block in item_blocks(items, window, block_words):
         names.append(f"_{found}_{len(names)}")
-        result = result.withColumn(names[-1], _find(SuffixAutomaton(block, window), text))
+        result = result.withColumn(names[-1], _find(SuffixAutomaton(block, window), text, most_hit))
         if len(names) == 2:
             first, second = names
             result = result.withColumn(first, _joined(F.col(first), F.col(second))).drop(second)
@@ -351,20 +355,24 @@ def decontaminate(
     where there is one, is counted anew for changed texts.  Cases as in ``find_contamination``; a
     null text stays null.
     """
-    judged = find_contamination(documents, items, window, block_words, "_found")
-    share = F.col("_found")["n_hit"] / F.greatest(F.col("_found")["n_words"], F.lit(1))
-    kept = judged.where(share <= most_hit).withColumn("_hit", F.col("_found")["n_hit"] > 0)
-    result = _cleaned_once(kept.drop("_found"), items, window, block_words)
-    if result[1] > 1:
+    found = F.col("_found")
+    judged = find_contamination(documents, items, window, block_words, "_found", most_hit)
+    kept = judged.where(
+        found["n_hit"] <= F.lit(most_hit) * found["n_words"]
+    ).withColumn("_hit", found["n_hit"] > 0)
+    if _block_count(items, block_words) == 1:
+        rows = kept.withColumn("_before", F.col("text")).withColumn(
+            "text", F.when(F.col("_hit"), found["cleaned"]).otherwise(F.col("text"))
+        )
+    else:
         # A cut made for one block of items can bring together words of another block.
+        rows = _cleaned_once(kept.drop("_found"), items, window, block_words)
         while True:
-            again = find_contamination(result[0], items, window, block_words, "_found")
-            again = stage(again.withColumn("_hit", F.col("_found")["n_hit"] > 0), "decontaminated")
-            if again.where("_hit").isEmpty():
-                result = again, 1
+            again = find_contamination(rows, items, window, block_words, "_found")
+            rows = stage(again.withColumn("_hit", found["n_hit"] > 0), "decontaminated")
+            if rows.where("_hit").isEmpty():
                 break
-            result = _cleaned_once(again.drop("_found"), items, window, block_words)
-    rows = result[0]
+            rows = _cleaned_once(rows.drop("_found"), items, window, block_words)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         changed = ~F.col("text").eqNullSafe(F.col("_before"))
@@ -373,17 +381,14 @@ def decontaminate(
     return rows.select(*documents.columns)
 
 
-def _cleaned_once(
-    rows: DataFrame, items: DataFrame, window: int, block_words: int
-) -> tuple[DataFrame, int]:
-    """Texts of rows with ``_hit`` cleaned by each block in turn, and the number of blocks."""
+def _cleaned_once(rows: DataFrame, items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """Texts of rows with ``_hit`` cleaned by each block in turn."""
     if "_before" not in rows.columns:
         rows = rows.withColumn("_before", F.col("text"))
-    count = 0
-    for block in item_blocks(items, window, block_words):
-        if count:
+    for number, block in enumerate(item_blocks(items, window, block_words)):
+        if number:
             rows = stage(rows, "decontaminated")
-        cleaned = _clean(SuffixAutomaton(block, window), F.when(F.col("_hit"), F.col("text")))
-        rows = rows.withColumn("text", F.when(F.col("_hit"), cleaned).otherwise(F.col("text")))
-        count += 1
-    return rows, count
+        hit = F.when(F.col("_hit"), F.col("text"))
+        rows = rows.withColumn("_cleaned", _find(SuffixAutomaton(block, window), hit, 1.0)["cleaned"])
+        rows = rows.withColumn("text", F.coalesce("_cleaned", "text")).drop("_cleaned")
+    return rows

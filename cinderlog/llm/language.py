@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlog.llm.batches import rounds
+from cinderlog.llm.batches import arrow_udf, rounds
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 UNKNOWN = "und"
@@ -165,7 +165,7 @@ def _decoded(model: LanguageModel, text: Column, margin: float) -> Column:
             )
 
     decoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(decoded, "struct<lang_pred: string, score: double, ambiguous: boolean>")(text.cast("binary"))
+    return arrow_udf(decoded, "struct<lang_pred: string, score: double, ambiguous: boolean>")(text.cast("binary"))
 
 
 def identify(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.batches import rounds
+from cinderlog.llm.batches import arrow_udf, rounds
 
 THRESHOLD = 0.7
 # Documents that the classifier learns from at most, and passages of each.
@@ -181,7 +181,7 @@ def _sampled(text: Column) -> Column:
             yield pa.array(out, type=pa.binary())
 
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(encoded, "binary")(text.cast("binary"))
+    return arrow_udf(encoded, "binary")(text.cast("binary"))
 
 
 def _scored(model: QualityModel, text: Column) -> Column:
@@ -198,7 +198,7 @@ def _scored(model: QualityModel, text: Column) -> Column:
             )
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(scored, "struct<score: double, attention: double>")(text.cast("binary"))
+    return arrow_udf(scored, "struct<score: double, attention: double>")(text.cast("binary"))
 
 
 def score_quality(

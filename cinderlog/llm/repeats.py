@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.batches import arrow_udf, bound_batches
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 LENGTH = 400
@@ -159,6 +160,7 @@ def _bins(texts: DataFrame, size: int, length: int) -> DataFrame:
             if held:
                 yield _batch(held)
 
+    bound_batches()
     columns = [F.col("row"), F.col("text").cast("binary").alias("text")]
     if ranged:
         columns.append(F.col("ranges"))
@@ -230,7 +232,7 @@ def _merged(firsts_and_lasts: Column, length: int) -> Column:
             yield pa.array(out, type=kind)
 
     merged.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(merged, "array<struct<start: long, end: long>>")(F.flatten(firsts_and_lasts))
+    return arrow_udf(merged, "array<struct<start: long, end: long>>")(F.flatten(firsts_and_lasts))
 
 
 def _kept(text: Column, spans: Column) -> Column:
@@ -251,7 +253,7 @@ def _kept(text: Column, spans: Column) -> Column:
     kept.__annotations__ = {
         "batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]
     }
-    return F.arrow_udf(kept, "binary")(text, spans)
+    return arrow_udf(kept, "binary")(text, spans)
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.batches import rounds
+from cinderlog.llm.batches import arrow_udf, rounds
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 REPEAT_WINDOW = 5
@@ -96,7 +96,7 @@ def text_counts(text: Column) -> Column:
             )
 
     counted.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(counted, _STRUCT)(text.cast("binary"))
+    return arrow_udf(counted, _STRUCT)(text.cast("binary"))
 
 
 def _share(part: str, whole: str, scale: float = 1.0) -> Column:

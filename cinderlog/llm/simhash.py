@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.batches import rounds
+from cinderlog.llm.batches import arrow_udf, rounds
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprints(text: Column, size: int = SHINGLE) -> Column:
             yield pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
 
     hashed.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(hashed, "bigint")(text.cast("binary"))
+    return arrow_udf(hashed, "bigint")(text.cast("binary"))
 
 
 def _forest(lefts: np.ndarray, rights: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -98,7 +98,7 @@ def _verified(lefts: Column, rights: Column, most: int) -> Column:
     verified.__annotations__ = {
         "batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]
     }
-    return F.arrow_udf(verified, "array<struct<a: bigint, b: bigint>>")(lefts, rights)
+    return arrow_udf(verified, "array<struct<a: bigint, b: bigint>>")(lefts, rights)
 
 
 def near_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.batches import arrow_udf
+
 # (verdict, host, path): a rule fits its host and all subdomains.
 RULES = (
     ("allow", "com", "/"),
@@ -77,7 +79,7 @@ def vocabulary_hits(url: Column, strict: Sequence[str], soft: Sequence[str]) ->
             yield pa.array(out, type=kind)
 
     hits.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(hits, "struct<strict: array<string>, soft: array<string>>")(url)
+    return arrow_udf(hits, "struct<strict: array<string>, soft: array<string>>")(url)
 
 
 def judge_urls(

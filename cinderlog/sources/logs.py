@@ -16,16 +16,21 @@ def read_log_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     """Lines of UTF-8 text files, numbered from 1 within each file, blank lines included.
 
     Files are split into blocks as usual.  A line's number is its place in its block plus the
-    lines of the blocks before it.  Only the line counts per block are shuffled; the lines stay
-    where they are read.  Each file is an incident, named by its path.
+    lines of the blocks before it.  The lines are read and staged in one pass, together with
+    their block and place, and numbered from that table: how a later job would split the files
+    does not matter.  Only the line counts per block are shuffled.  Each file is an incident,
+    named by its path.
     """
-    blocks = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("incident_id"),
-        F.col("_metadata.file_name").alias("source_name"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.make_valid_utf8("value").alias("raw_line"),
-        # Rising within a task, and a block is read by one task in file order.
-        F.monotonically_increasing_id().alias("_slot"),
+    blocks = stage(
+        spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+            F.col("_metadata.file_path").alias("incident_id"),
+            F.col("_metadata.file_name").alias("source_name"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.make_valid_utf8("value").alias("raw_line"),
+            # Rising within a task, and a block is read by one task in file order.
+            F.monotonically_increasing_id().alias("_slot"),
+        ),
+        "lines",
     )
     counts = blocks.groupBy("incident_id", "_block").agg(
         F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_lines")

@@ -11,8 +11,9 @@ import uuid
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -43,15 +44,28 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(frame: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the rows are measured to take at most ``max_bytes``.
 
-    Strings count with their length and other values with 16 bytes.  A larger frame is left to
-    the planner, which then joins by shuffle.  The frame should be a staged or stored table, so
-    that measuring it is cheap.
+    Strings and binaries count with their length, arrays, maps and structs with all they hold,
+    and other values with 16 bytes.  A larger frame is left to the planner, which then joins by
+    shuffle.  The frame should be a staged or stored table, so that measuring it is cheap.
     """
-    sizes = [
-        F.coalesce(F.octet_length(field.name), F.lit(0))
-        if field.dataType.typeName() == "string"
-        else F.lit(16)
-        for field in frame.schema
-    ]
+    sizes = [_bytes(F.col(f"`{field.name}`"), field.dataType) for field in frame.schema]
     total = frame.agg(F.sum(reduce(add, sizes))).first()[0] or 0
     return F.broadcast(frame) if total <= max_bytes else frame
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value).cast("long"), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_bytes(value[field.name], field.dataType) for field in kind], F.lit(16))
+    if isinstance(kind, T.MapType):
+        pairs = T.StructType().add("key", kind.keyType).add("value", kind.valueType)
+        return _bytes(F.map_entries(value), T.ArrayType(pairs))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.NumericType | T.BooleanType):
+            return F.lit(16) * (1 + F.greatest(F.size(value), F.lit(0)).cast("long"))
+        held = F.aggregate(
+            value, F.lit(16).cast("long"), lambda sum_, x: sum_ + _bytes(x, kind.elementType)
+        )
+        return F.coalesce(held, F.lit(16))
+    return F.lit(16).cast("long")

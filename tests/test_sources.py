@@ -22,6 +22,45 @@ def test_line_numbers_of_split_files(spark, tmp_path):
         assert sorted(found) == list(range(1, len(lines) + 1))
 
 
+def test_numbers_stay_when_later_jobs_split_otherwise(spark, tmp_path):
+    lines = [f"line {n}" for n in range(4000)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    settings = {
+        "spark.sql.files.maxPartitionBytes": ("3000b", "128m"),
+        "spark.sql.leafNodeDefaultParallelism": ("8", "3"),
+        "spark.sql.files.openCostInBytes": ("10", "4m"),
+    }
+    try:
+        for name, (first, _) in settings.items():
+            spark.conf.set(name, first)
+        found = logs.read_log_files(spark, str(tmp_path))
+        for name, (_, later) in settings.items():
+            spark.conf.set(name, later)
+        rows = {row.line_number: row.raw_line for row in found.collect()}
+        assert found.count() == 4000
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert rows == {number: text for number, text in enumerate(lines, start=1)}
+
+
+def test_measured_bytes_follow_what_is_held(spark):
+    rows = spark.createDataFrame(
+        [("x" * 1000, [1.0] * 500, {"k": "v" * 700}, [{"a": b"z" * 300}])],
+        "s string, v array<double>, m map<string,string>, n array<struct<a:binary>>",
+    )
+    measured = {
+        name: next(
+            size for size in range(0, 10_000, 8)
+            if "ResolvedHint" in staging.broadcast_if_small(rows.select(name), size)
+            ._jdf.queryExecution().analyzed().toString()
+        )
+        for name in rows.columns
+    }
+    assert measured["s"] >= 1000 and measured["v"] >= 4000
+    assert measured["m"] >= 700 and measured["n"] >= 300
+
+
 def test_bad_bytes_and_uploads(spark, tmp_path):
     path = tmp_path / "u.txt"
     path.write_bytes(b"\xef\xbb\xbfone\xff\x0btwo\r\n\r\nthree\xe2\x80\xa8four\n")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cinderlog import fixed_values as fixed
 
 _MARK = "\x01"
+# A bare number word, and before it all strings and other characters since the last one.
+_WORDS = r"""\G((?:[^"NI-]|"(?:[^"\\]|\\.)*+"|-(?!Infinity))*+)(?:NaN|-?Infinity)"""
 
 
 def normalize_level(level: Column) -> Column:
@@ -39,10 +41,19 @@ def looks_like_json(line: Column) -> Column:
 
 
 def json_pair(line: Column) -> Column:
-    """Variant of the array ``[line, hash of the line]``, or null if that is not valid JSON."""
-    return F.try_parse_json(
-        F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]"))
-    )
+    """Variant of the array ``[line, hash of the line]``, or null if that is not valid JSON.
+
+    The words ``NaN``, ``Infinity`` and ``-Infinity``, which many writers put for numbers that JSON
+    has no form for, are read as null.
+    """
+
+    def parsed(value: Column) -> Column:
+        return F.try_parse_json(
+            F.concat(F.lit("["), value, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]"))
+        )
+
+    worded = F.when(F.rlike(line, F.lit("NaN|Infinity")), F.regexp_replace(line, _WORDS, "$1null"))
+    return F.coalesce(parsed(line), parsed(worded))
 
 
 def json_object(line: Column, pair: Column) -> Column:

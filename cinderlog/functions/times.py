@@ -45,14 +45,30 @@ _ISO = (
     r"(?:(?s:.)([0-9]{2})(?:(:?)([0-9]{2})(?:\6([0-9]{2})(?:\.([0-9]+))?)?)?"
     r"(?:[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2}(?:\.[0-9]+)?)?)?)?)?\z"
 )
+# ISO week date; Monday where the day is left out.
+_WEEK = r"\A([0-9]{4})(-?)W([0-9]{2})(?:\2([0-9]))?(?=\z|[^0-9-])"
 _ISO_USUAL = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?\z"
 
 
+def _with_calendar_date(plain: Column) -> Column:
+    """The text with its week date replaced by the calendar date; null if there is none."""
+    year, week, day = (F.regexp_extract(plain, _WEEK, group) for group in (1, 3, 4))
+    day = F.coalesce(F.nullif(day, F.lit("")), F.lit("1")).cast("int")
+    week = week.cast("int")
+    # The fourth of January is in the first week, the 28th of December in the last.
+    fourth = F.concat(year, F.lit("-01-04")).try_cast("date")
+    last = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
+    date = F.date_add(fourth, (week - 1) * 7 + day - 1 - F.weekday(fourth))
+    dashed = F.concat(F.date_format(date, "yyyy-MM-dd"), F.regexp_replace(plain, _WEEK, ""))
+    return F.when(week.between(1, last) & day.between(1, 7), dashed)
+
+
 def parse_iso_time(plain: Column) -> Column:
     """ISO time of a JSON log line, after ``without_zone``.
 
-    An offset is dropped and the wall clock kept.  Week dates are not accepted.
+    An offset is dropped and the wall clock kept.
     """
+    plain = F.when(F.rlike(plain, F.lit(_WEEK)), _with_calendar_date(plain)).otherwise(plain)
 
     def part(group: int, missing: str) -> Column:
         return F.lpad(F.regexp_extract(plain, _ISO, group), 2, missing)

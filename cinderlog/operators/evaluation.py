@@ -14,8 +14,13 @@ def available_cases(spark: SparkSession, index: DataFrame) -> DataFrame:
     """The built-in cases, and the optional one when its source is indexed."""
     built_in = spark.createDataFrame(fixed.EVALUATION_CASES, EVALUATION_CASES)
     optional = spark.createDataFrame([fixed.OPTIONAL_EVALUATION_CASE], EVALUATION_CASES)
-    indexed = index.select(F.col("source").alias("expected_source"))
-    return built_in.unionByName(optional.join(indexed, "expected_source", "left_semi"))
+    return built_in.unionByName(indexed_cases(optional, index))
+
+
+def indexed_cases(cases: DataFrame, index: DataFrame) -> DataFrame:
+    """The cases whose expected source is indexed."""
+    indexed = index.select(F.col("source").alias("expected_source")).distinct()
+    return cases.join(indexed, "expected_source", "left_semi")
 
 
 def evaluate_retrieval(

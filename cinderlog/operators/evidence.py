@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions import times
 from cinderlog.operators.events import EVENT_ORDER, serious
-from cinderlog.operators.ordering import PART_LINES, assemble
+from cinderlog.operators.ordering import PART_BYTES, assemble
 
 
-def incident_queries(events: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+def incident_queries(events: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Search text of every incident: ``service: message`` lines of its serious events."""
     lines = serious(events).withColumn("query", F.concat_ws(": ", "service", "message"))
-    return assemble(lines, ["incident_id"], EVENT_ORDER, "query", "\n", part_lines)
+    return assemble(lines, ["incident_id"], EVENT_ORDER, "query", "\n", part_bytes)
 
 
 def evidence_line() -> Column:
@@ -33,10 +33,10 @@ def evidence_line() -> Column:
     )
 
 
-def log_evidence(events: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+def log_evidence(events: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``[L#] time level service: message`` lines of every incident's serious events."""
     lines = serious(events).withColumn("evidence", evidence_line())
-    return assemble(lines, ["incident_id"], EVENT_ORDER, "evidence", "\n", part_lines)
+    return assemble(lines, ["incident_id"], EVENT_ORDER, "evidence", "\n", part_bytes)
 
 
 def runbook_evidence(evidence: DataFrame, key: str) -> DataFrame:

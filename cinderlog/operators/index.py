@@ -23,24 +23,42 @@ def embed_chunks(chunks: DataFrame, embed: Embedder) -> DataFrame:
     return embed(texts).drop("text")
 
 
+def one_per_source(documents: DataFrame) -> DataFrame:
+    """One document for each source: of several, the last by path, or by text without a path.
+
+    Only the texts of sources that repeat are shuffled.
+    """
+    named = documents.groupBy("source").agg(F.count(F.lit(1)).alias("_documents"))
+    repeated = broadcast_if_small(
+        stage(named.where("_documents > 1").select("source"), "repeated-sources")
+    )
+    place = [name for name in ("path", "text") if name in documents.columns]
+    several = documents.join(repeated, "source", "left_semi").select("source", *place)
+    last = several.groupBy("source").agg(F.max(F.struct(*place)).alias("_last"))
+    return (
+        documents.join(repeated, "source", "left_anti")
+        .select("source", "text")
+        .unionByName(last.select("source", "_last.text"))
+    )
+
+
 def build_index(documents: DataFrame, embed: Embedder, first_id: int = 1) -> DataFrame:
     """Chunk, embed and number whole documents, in order of source and position.
 
+    A source has one document; see ``one_per_source`` for a batch with more.
+
     Ids come from the chunk counts of the sources before, so only (source, count) rows are
-    sorted: the texts stay where they are read when the counts are few enough to broadcast, and
-    are shuffled once by source otherwise.  Every chunk is embedded once.
+    sorted.  Documents are chunked once and the chunks staged; their texts are shuffled, by source,
+    only when the counts are too many to broadcast.  Every chunk is embedded once.
     """
-    counts = (
-        chunk_documents(documents)
-        .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("_chunks"))
-    )
+    chunks = stage(chunk_documents(one_per_source(documents)), "chunks")
+    counts = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("_chunks"))
     offsets = stage(
         with_total_before(counts, ["source"], "_chunks", "_before").select("source", "_before"),
         "source-offsets",
     )
     numbered = (
-        chunk_documents(documents)
+        chunks
         .join(broadcast_if_small(offsets), "source")
         .withColumn("id", F.col("_before") + F.col("position") + (first_id - 1))
     )

@@ -18,8 +18,8 @@ from cinderlog.sources.staging import broadcast_if_small, stage
 # Begins the join keys of rows that are meant to match nothing.  A null key would do as well,
 # but all null keys meet in one task.
 UNMATCHED = "\x00"
-# Lines that make one part of an assembled text.
-PART_LINES = 100_000
+# Bytes that make one part of an assembled text.
+PART_BYTES = 4 * 1024 * 1024
 
 
 def _in_order(frame: DataFrame, sort_keys: Sequence[Column]) -> DataFrame:
@@ -107,28 +107,57 @@ def assemble(
     order: Sequence[str | Column],
     text: str,
     separator: str,
-    part_lines: int = PART_LINES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Join each group's lines in order: ``(keys, part, parts, <text>)``.
 
-    A group of up to ``part_lines`` lines gives one row.  A longer one is cut into numbered
-    parts, so that no row and no task grows with the group; joining the parts in order, with
-    nothing in between, gives the whole text.
+    A line belongs to the part that the bytes before it fill, so a part has ``part_bytes`` and one
+    line at most, at every size of the group and however the rows are dealt out.  Parts are
+    numbered from 1; joining them in order, with nothing in between, gives the whole text.
+
+    The lines are sorted and staged once.  Where parts begin is found from their lengths alone.
     """
-    placed = with_position(lines.select(*keys, *_needed(lines, keys, order, text)), keys, order,
-                           "_position", "_total")
-    part = F.ceil(F.col("_position") / F.lit(part_lines)).cast("int")
-    parts = F.ceil(F.col("_total") / F.lit(part_lines)).cast("int")
+    narrow = lines.select(*keys, *_needed(lines, keys, order, text))
+    placed = _in_order(narrow, _columns([*keys, *order]))
+    length = F.octet_length(text) + F.lit(len(separator.encode()))
+    sizes = placed.select(*keys, "_range", "_slot", length.alias("_bytes"))
+    sums = sizes.groupBy(*keys, "_range").agg(F.sum("_bytes").alias("_sum"))
+    # At most one row per range partition and group goes through the first window, the lengths of one
+    # range partition's rows through the second, one row per part through the third.
+    ranges = Window.partitionBy(*keys).orderBy("_range")
+    earlier = F.sum("_sum").over(ranges.rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*keys, "_range", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_slot")
+    upto = F.sum("_bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    filled = (
+        sizes.withColumn("_inside", F.coalesce(upto, F.lit(0)))
+        .join(starts, [*keys, "_range"])
+        .withColumn("_fill", F.floor((F.col("_start") + F.col("_inside")) / F.lit(part_bytes)))
+        .groupBy(*keys, "_range", "_fill")
+        .agg(F.min("_slot").alias("_from"))
+    )
+    by_fill = Window.partitionBy(*keys).orderBy("_fill")
+    cuts = filled.withColumn("part", F.dense_rank().over(by_fill).cast("int"))
+    cuts = cuts.withColumn("parts", F.max("part").over(Window.partitionBy(*keys)))
+    begins = stage(
+        cuts.groupBy(*keys, "_range", "parts").agg(
+            F.collect_list(F.struct("_from", "part")).alias("_begins")
+        ),
+        "part-begins",
+    )
+    part = F.array_max(F.filter("_begins", lambda begin: begin["_from"] <= F.col("_slot")))["part"]
     joined = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_position", F.col(text).alias("_text")))),
+            F.array_sort(F.collect_list(F.struct("_slot", F.col(text).alias("_text")))),
             lambda line: line["_text"],
         ),
         separator,
     )
     lead = F.when(F.col("part") > 1, F.lit(separator)).otherwise(F.lit(""))
     return (
-        placed.groupBy(*keys, part.alias("part"), parts.alias("parts"))
+        placed.join(broadcast_if_small(begins), [*keys, "_range"])
+        .withColumn("part", part)
+        .groupBy(*keys, "part", "parts")
         .agg(joined.alias("_joined"))
         .select(*keys, "part", "parts", F.concat(lead, "_joined").alias(text))
     )

@@ -10,11 +10,12 @@ from cinderlog.functions import times
 from cinderlog.operators.causes import detect_causes
 from cinderlog.operators.events import EVENT_ORDER
 from cinderlog.operators.metrics import event_window, first_seen
-from cinderlog.operators.ordering import PART_LINES, assemble, with_position, wrap
+from cinderlog.operators.ordering import PART_BYTES, assemble, with_position, wrap
 from cinderlog.schemas import REPORTS
 from cinderlog.sources.staging import broadcast_if_small, stage
 
-SIGNATURE_LINES = 250_000
+# Lines, and digests of them, that one digest of a signature covers.
+SIGNATURE_LINES = 1_000
 FALLBACK_CHUNKS = 2
 
 
@@ -52,7 +53,7 @@ def quick_reports(
     events: DataFrame,
     index: DataFrame,
     name: str = fixed.ASSISTANT_NAME,
-    part_lines: int = PART_LINES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Markdown report of every incident: ``(incident_id, part, parts, analysis_markdown)``."""
     sources = [rule[1] for rule in fixed.CAUSE_RULES]
@@ -71,7 +72,7 @@ def quick_reports(
         EVENT_ORDER,
         "analysis_markdown",
         "\n",
-        part_lines,
+        part_bytes,
     )
     head = F.format_string(fixed.REPORT_HEAD, F.lit(name), "cause", "citations", "cause", "citations")
     tail = F.concat(
@@ -84,57 +85,58 @@ def quick_reports(
     )
 
 
-def signatures(
-    events: DataFrame, source_name: Column, part_lines: int = SIGNATURE_LINES
-) -> DataFrame:
-    """``(incident_id, source_name, signature)``: SHA-256 over the name and all raw lines in order.
+def signatures(events: DataFrame, source_name: Column) -> DataFrame:
+    """``(incident_id, source_name, signature)`` over the name and all raw lines in event order.
 
-    An incident of more than ``part_lines`` lines is hashed part by part and its signature is
-    the SHA-256 over the name and the parts' digests, so that no task has to hold it whole.
+    Every ``SIGNATURE_LINES`` lines give a SHA-256 digest of the lines, every ``SIGNATURE_LINES`` of these
+    digests one of theirs, and the signature is the SHA-256 over the name and the latter.  The
+    rule is the same for an incident of any size, and no task has to hold one whole.
     """
     named = events.withColumn("source_name", source_name)
     keys = ["incident_id", "source_name"]
-    texts = assemble(named, keys, EVENT_ORDER, "raw_line", "\n", part_lines)
-    single = F.col("parts") == 1
-    digests = texts.select(
-        *keys,
-        F.when(single, F.col("raw_line")).alias("_only"),
-        F.when(~single, F.struct("part", F.sha2("raw_line", 256).alias("digest"))).alias("_part"),
+    rows = with_position(named.select(*keys, *EVENT_ORDER, "raw_line"), keys, EVENT_ORDER, "_place")
+    digests = rows.select(
+        *keys, (F.col("_place") - 1).alias("_place"), F.col("raw_line").alias("_text")
     )
-    parts = F.transform(F.array_sort(F.collect_list("_part")), lambda item: item["digest"])
-    payload = F.coalesce(F.max("_only"), F.array_join(parts, "\n"))
+    for _ in range(2):
+        block = F.floor(F.col("_place") / F.lit(SIGNATURE_LINES)).alias("_block")
+        digests = (
+            digests.groupBy(*keys, block)
+            .agg(F.sha2(_in_line(), 256).alias("_text"))
+            .withColumnRenamed("_block", "_place")
+        )
+    payload = F.concat_ws("\n", "source_name", "_payload")
     return (
         digests.groupBy(*keys)
-        .agg(payload.alias("_payload"))
-        .select(
-            *keys, F.sha2(F.concat_ws("\n", "source_name", "_payload"), 256).alias("signature")
-        )
+        .agg(_in_line().alias("_payload"))
+        .select(*keys, F.sha2(payload, 256).alias("signature"))
     )
 
 
+def _in_line() -> Column:
+    """The texts of a block joined by line feeds, in order of place."""
+    ordered = F.array_sort(F.collect_list(F.struct("_place", "_text")))
+    return F.array_join(F.transform(ordered, lambda item: item["_text"]), "\n")
+
+
 def report_rows(
-    events: DataFrame,
-    analyses: DataFrame,
-    created_at: Column,
-    source_name: Column,
-    part_lines: int = SIGNATURE_LINES,
+    events: DataFrame, analyses: DataFrame, created_at: Column, source_name: Column
 ) -> DataFrame:
-    """Report rows without id of incidents with events.
+    """Report rows without id of incidents with events, one for each part of an analysis.
 
-    ``analyses`` has ``incident_id`` and ``analysis_markdown``; incidents without events have no
-    row here and so cannot be saved.  With a ``part`` column, further parts of an analysis are
-    saved as rows of their own, whose signature ends in the part number.
+    ``analyses`` has ``incident_id`` and ``analysis_markdown``, and ``part`` if a text may have
+    several; incidents without events have no row here and so cannot be saved.
     """
-    part = F.col("part") if "part" in analyses.columns else F.lit(1)
-    texts = analyses.select("incident_id", part.alias("_part"), "analysis_markdown")
+    part = F.col("part").cast("int") if "part" in analyses.columns else F.lit(1)
+    texts = analyses.select("incident_id", part.alias("part"), "analysis_markdown")
     return (
-        signatures(events, source_name, part_lines)
+        signatures(events, source_name)
         .join(event_window(events), "incident_id")
         .join(texts, "incident_id")
         .select(
-            F.when(F.col("_part") == 1, F.col("signature"))
-            .otherwise(F.concat_ws("/", "signature", F.col("_part").cast("string")))
-            .alias("signature"),
+            "incident_id",
+            "signature",
+            "part",
             "source_name",
             created_at.alias("created_at"),
             "event_count",
@@ -153,37 +155,68 @@ def utc_now() -> Column:
     return F.concat(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
-def upsert_reports(reports: DataFrame, rows: DataFrame) -> DataFrame:
-    """Merge report rows by signature.  Both frames are read more than once.
+def latest_per_signature(rows: DataFrame) -> DataFrame:
+    """The rows of one incident for each signature: the last by time, then by incident id.
 
-    A known signature keeps its id, counts and window and takes the new time and text; a new
-    one gets the next free id, in order of name and signature.
+    Incidents of one name and with the same lines share a signature, such as a file that came from two
+    hosts.  Rows that repeat a part as well are reduced to the greatest text.
     """
-    fresh = rows.join(reports.select("signature"), "signature", "left_anti")
-    numbered = with_position(fresh, [], ["source_name", "signature"], "_number")
-    highest = reports.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    inserted = numbered.withColumn("_highest", highest).withColumn(
-        "id", F.col("_highest") + F.col("_number")
+    chosen = rows.groupBy("signature").agg(
+        F.max(F.struct("created_at", "incident_id")).alias("_last")
+    )
+    own = F.struct("created_at", "incident_id").eqNullSafe(F.col("_last"))
+    facts = [name for name in REPORTS.fieldNames() if name not in ("id", "analysis_markdown")]
+    return (
+        rows.join(chosen, "signature")
+        .where(own)
+        .groupBy(*facts)
+        .agg(F.max("analysis_markdown").alias("analysis_markdown"))
     )
-    changes = rows.select(
+
+
+def upsert_reports(reports: DataFrame, rows: DataFrame, highest: int | None = None) -> DataFrame:
+    """Merge report rows by signature.  Both frames are read more than once.
+
+    A report is all rows of a signature, one for each part of its text, under one id.  A known
+    signature keeps its id, counts and window and takes the new time and text, with as many parts as the new
+    text has; a new one gets the next free id after ``highest`` (the table's own if not given), in
+    order of name and signature.  Of several rows for one signature and part one counts, see
+    ``latest_per_signature``.
+    """
+    latest = stage(latest_per_signature(rows), "latest-reports")
+    known = reports.where("part = 1").select(
         "signature",
-        F.col("created_at").alias("_created_at"),
-        F.col("analysis_markdown").alias("_analysis"),
+        "id",
+        *(F.col(name).alias(f"_{name}") for name in ("event_count", "started_at", "ended_at")),
     )
-    updated = reports.join(changes, "signature", "left").withColumns(
-        {
-            "created_at": F.coalesce("_created_at", "created_at"),
-            "analysis_markdown": F.coalesce("_analysis", "analysis_markdown"),
-        }
+    heads = latest.where("part = 1").select("signature", "source_name")
+    fresh = heads.join(known, "signature", "left_anti")
+    if highest is None:
+        highest = reports.agg(F.max("id")).first()[0] or 0
+    numbered = with_position(fresh, [], ["source_name", "signature"], "_number").select(
+        "signature", (F.col("_number") + F.lit(highest)).alias("id")
+    )
+    ids = known.select("signature", "id").unionByName(numbered)
+    kept = reports.join(heads, "signature", "left_anti")
+    facts = known.drop("id")
+    written = (
+        latest.join(ids, "signature")
+        .join(facts, "signature", "left")
+        .withColumns(
+            {
+                name: F.coalesce(f"_{name}", name)
+                for name in ("event_count", "started_at", "ended_at")
+            }
+        )
     )
     columns = REPORTS.fieldNames()
-    return updated.select(*columns).unionByName(inserted.select(*columns))
+    return kept.select(*columns).unionByName(written.select(*columns))
 
 
 def recent_reports(reports: DataFrame, limit: int = 10) -> DataFrame:
-    """The latest reports, newest first."""
-    return (
-        reports.drop("signature")
-        .orderBy(F.col("created_at").desc(), F.col("id").desc())
-        .limit(limit)
-    )
+    """The latest ``limit`` reports with all their parts, newest first."""
+    newest = F.col("created_at").desc(), F.col("id").desc()
+    heads = reports.where("part = 1").select("created_at", "id").orderBy(*newest).limit(limit)
+    # A bounded list of ids.
+    chosen = F.broadcast(heads.select("id"))
+    return reports.join(chosen, "id", "left_semi").drop("signature").orderBy(*newest, "part")

@@ -39,6 +39,8 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None) -> np.ndarra
     size = width if width is not None else (int(lengths[0]) if rows else 0)
     if rows and (size < 1 or (lengths != size).any() or len(flat) != rows * size):
         raise ValueError("vectors must have the same length, at least 1")
+    if not np.isfinite(flat).all():
+        raise ValueError("vectors must not hold NaN or infinite numbers")
     return flat.reshape(rows, size)
 
 
@@ -185,8 +187,11 @@ def search(
 ) -> DataFrame:
     """The ``limit`` most similar chunks of every query: ``(query_id, rank, id, score)``.
 
-    Exact; equal scores rank by chunk id.  ``query_id`` and ``id`` are integers.
+    Exact; equal scores rank by chunk id.  ``query_id`` and ``id`` are integers.  Vectors of other
+    lengths, or with numbers that are not finite, fail the search, as they have no place in a
+    ranking.  The query vectors are staged, so an embedder above them runs once.
     """
+    queries = stage(queries.select("query_id", "embedding"), "query-vectors")
     count, size = _doubles(queries)
     blocks = -(-size // block_bytes)
     if blocks <= 1:

@@ -124,13 +124,24 @@ def index_sql() -> str:
     """
 
 
+# Incidents other than the hot one, and lines of the hot one, in ``events_sql``.
+_INCIDENTS = "(SELECT CAST(floor(max(event_id) / 500) AS BIGINT) + 1 FROM events)"
+_HOT_LINES = "(SELECT CAST(floor(max(event_id) / 3) AS BIGINT) + 1 FROM events)"
+_ASKED = f"""CASE WHEN conv_id % 5 = 0 THEN 'incident-hot'
+           ELSE 'incident-' || CAST((conv_id * 7) % {_INCIDENTS} AS STRING) END"""
+
+
+def incident_number_sql() -> str:
+    """``(incidents)``: how many incidents there are besides the hot one."""
+    return f"SELECT {_INCIDENTS} AS incidents"
+
+
 def questions_sql() -> str:
     """Every user turn as a question about one of the incidents."""
-    return """
+    return f"""
     SELECT CAST(conv_id * 100 + turn AS BIGINT) AS question_id,
       conv_id,
-      CASE WHEN conv_id % 5 = 0 THEN 'incident-hot'
-           ELSE 'incident-' || CAST(conv_id % 23 AS STRING) END AS incident_id,
+      {_ASKED} AS incident_id,
       CASE conv_id % 7 WHEN 0 THEN 'What is  a ' || text
         WHEN 1 THEN 'Why is the message queue backlog growing? ' || text
         WHEN 2 THEN 'Which JWT token was rejected with 401? ' || text
@@ -143,11 +154,13 @@ def questions_sql() -> str:
 
 def answers_sql() -> str:
     """Every assistant turn as an answer with labels and statuses in it."""
-    label = "CAST((conv_id * 13 + turn * 7) % 500 + 1 AS STRING)"
+    label = (
+        "CAST((conv_id * 1013 + turn * 7) % "
+        f"(CASE WHEN conv_id % 5 = 0 THEN {_HOT_LINES} ELSE 500 END) + 1 AS STRING)"
+    )
     return f"""
     SELECT CAST(conv_id * 100 + turn AS BIGINT) AS answer_id,
-      CASE WHEN conv_id % 5 = 0 THEN 'incident-hot'
-           ELSE 'incident-' || CAST(conv_id % 23 AS STRING) END AS incident_id,
+      {_ASKED} AS incident_id,
       conv_id % 7 <> 0 AS include_logs,
       CAST(conv_id % 4 AS BIGINT) AS chunk_count,
       CASE (conv_id + turn) % 6
@@ -259,14 +272,14 @@ class DriverTables:
         )
 
     def questions(self) -> DataFrame:
-        return self.sql(questions_sql(), "conversations").drop("conv_id")
+        return self.sql(questions_sql(), "conversations", "events").drop("conv_id")
 
     def question_vectors(self) -> DataFrame:
         """Questions with the query vector of their conversation's number."""
-        asked = self.sql(questions_sql(), "conversations")
+        asked = self.sql(questions_sql(), "conversations", "events")
         return asked.join(
             self.query_vectors().select(F.col("query_id").alias("conv_id"), "embedding"), "conv_id"
         ).drop("conv_id")
 
     def answers(self) -> DataFrame:
-        return self.sql(answers_sql(), "conversations")
+        return self.sql(answers_sql(), "conversations", "events")

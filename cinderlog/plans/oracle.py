@@ -6,9 +6,17 @@ again, so the parser is tested independently.
 
 from __future__ import annotations
 
+import re
+
 from cinderlog import fixed_values as fixed
-from cinderlog.plans.driver_tables import answers_sql, events_sql, index_sql, questions_sql
-from cinderlog.plans.queries import CREATED_BEFORE, CREATED_NOW, REPLACED_SOURCE
+from cinderlog.plans.driver_tables import (
+    answers_sql,
+    events_sql,
+    incident_number_sql,
+    index_sql,
+    questions_sql,
+)
+from cinderlog.plans.queries import CREATED_NOW, QUERY_PART_BYTES, REPLACED_SOURCE
 
 SERIOUS = "level IN ('WARNING', 'ERROR', 'CRITICAL')"
 
@@ -22,13 +30,40 @@ def _cases(column: str, pairs: list[tuple[str, str]], default: str = "NULL") ->
     return f"CASE {whens} ELSE {default} END"
 
 
-# Redaction patterns in DuckDB's dialect; ``\1`` stands for the first group.
-_REDACTIONS = (
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
-    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED_IP]"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
-    (r"(?i)\btoken\s*[=:]\s*[A-Za-z0-9._~+/=-]{8,}", "token=[REDACTED]"),
-    (r"(?i)\b(password|passwd|api[_-]?key|secret)\s*[=:]\s*[^\s,;]+", r"\1=[REDACTED]"),
+def _parts(name: str, relation: str, line: str) -> str:
+    """CTEs that join an incident's lines in parts of ``QUERY_PART_BYTES``; the last is ``name``."""
+    return f"""
+{name}_lines AS (
+  SELECT incident_id, ts, line_number, {line} AS line FROM {relation}
+),
+{name}_filled AS (
+  SELECT *, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY incident_id
+    ORDER BY ts, line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    // {QUERY_PART_BYTES} AS fill
+  FROM {name}_lines
+),
+{name}_numbered AS (
+  SELECT *, dense_rank() OVER (PARTITION BY incident_id ORDER BY fill) AS part FROM {name}_filled
+),
+{name} AS (
+  SELECT incident_id, part, max(part) OVER (PARTITION BY incident_id) AS parts,
+    CASE WHEN part > 1 THEN chr(10) ELSE '' END || lines AS lines
+  FROM (SELECT incident_id, part, string_agg(line, chr(10) ORDER BY ts, line_number) AS lines
+        FROM {name}_numbered GROUP BY ALL)
+)"""
+
+
+def _part_columns(alias: str) -> str:
+    return (
+        f"CAST(coalesce({alias}.part, 1) AS BIGINT) AS part, "
+        f"CAST(coalesce({alias}.parts, 1) AS BIGINT) AS parts"
+    )
+
+
+# The fixed redaction patterns; DuckDB's dialect writes a group as ``\\1``.
+_REDACTIONS = tuple(
+    (pattern.replace("(?U)", "").replace("(?iU)", "(?i)"), re.sub(r"\$(\d)", r"\\\1", replacement))
+    for pattern, replacement in fixed.REDACTIONS
 )
 
 
@@ -309,12 +344,12 @@ evaluated AS (
 
 # --- evidence and prompts ---
 
-EVIDENCE = f"""
-evidence AS (
-  SELECT incident_id, string_agg('[L' || line_number || '] ' || {_ISO.format("ts")} || ' ' || level
-    || ' ' || service || ': ' || message, chr(10) ORDER BY ts, line_number) AS evidence
-  FROM ser GROUP BY incident_id
-)"""
+EVIDENCE = _parts(
+    "evidence_parts",
+    "ser",
+    f"'[L' || line_number || '] ' || {_ISO.format('ts')} || ' ' || level || ' ' || service || ': ' "
+    "|| message",
+)
 RUNBOOKS = """
 runbooks AS (
   SELECT query_id, string_agg('[R' || rank || '] Source: ' || source || ', section: ' || heading
@@ -425,27 +460,40 @@ def _filled(template: str, *values: str) -> str:
     return " || ".join(joined)
 
 
-_REPORT = f"""
-propagation AS (
-  SELECT incident_id, string_agg('- **' || strftime(ts, '%H:%M:%S') || ' — ' || service || ':** '
-    || message || ' [L' || line_number || ']', chr(10) ORDER BY ts, line_number) AS lines
-  FROM seen GROUP BY incident_id
+_SEEN_LINE = (
+    "'- **' || strftime(ts, '%H:%M:%S') || ' — ' || service || ':** ' || message "
+    "|| ' [L' || line_number || ']'"
 )
-SELECT c.incident_id, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
-  {_filled(fixed.REPORT_HEAD, _quoted(fixed.ASSISTANT_NAME), "c.cause", "c.citations",
-           "c.cause", "c.citations")}
+_PROPAGATION = _parts("propagation", "seen", _SEEN_LINE)
+_REPORT = f"""
+SELECT c.incident_id, {_part_columns("p")},
+  CASE WHEN coalesce(p.part, 1) = 1 THEN
+    {_filled(fixed.REPORT_HEAD, _quoted(fixed.ASSISTANT_NAME), "c.cause", "c.citations",
+             "c.cause", "c.citations")} ELSE '' END
   || coalesce(p.lines, '')
-  || {_quoted(fixed.REPORT_ACTIONS)} || coalesce(a.actions, {_quoted(fixed.REPORT_NO_ACTIONS)})
-  || {_filled(fixed.REPORT_TAIL, "c.confidence")} AS analysis_markdown
+  || CASE WHEN coalesce(p.part = p.parts, true) THEN
+    {_quoted(fixed.REPORT_ACTIONS)} || coalesce(a.actions, {_quoted(fixed.REPORT_NO_ACTIONS)})
+    || {_filled(fixed.REPORT_TAIL, "c.confidence")} ELSE '' END AS analysis_markdown
 FROM caused c LEFT JOIN propagation p USING (incident_id) LEFT JOIN actions a USING (source)"""
 
 SIGNED = """
 masked AS (SELECT * FROM r5),
+line_blocks AS (
+  SELECT incident_id, place // 1000 AS block,
+    sha256(string_agg(raw_line, chr(10) ORDER BY place)) AS digest
+  FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts, line_number) - 1 AS place
+        FROM masked)
+  GROUP BY ALL
+),
+digest_blocks AS (
+  SELECT incident_id, block // 1000 AS block,
+    sha256(string_agg(digest, chr(10) ORDER BY block)) AS digest
+  FROM line_blocks GROUP BY incident_id, block // 1000
+),
 signed AS (
   SELECT incident_id, incident_id || '.log' AS source_name,
-    sha256(incident_id || '.log' || chr(10)
-      || string_agg(raw_line, chr(10) ORDER BY ts, line_number)) AS signature
-  FROM masked GROUP BY incident_id
+    sha256(incident_id || '.log' || chr(10) || string_agg(digest, chr(10) ORDER BY block)) AS signature
+  FROM digest_blocks GROUP BY incident_id
 )"""
 MERGED = f"""{SIGNED}, {causes_cte("masked")},
 facts AS (
@@ -459,7 +507,7 @@ facts AS (
 ),
 merged AS (
   SELECT CAST(row_number() OVER (ORDER BY known DESC, source_name) AS BIGINT) AS id,
-    signature, source_name, {_quoted(CREATED_NOW)} AS created_at, event_count, started_at, ended_at,
+    signature, CAST(1 AS INTEGER) AS part, source_name, {_quoted(CREATED_NOW)} AS created_at, event_count, started_at, ended_at,
     cause AS analysis_markdown
   FROM facts
 )"""
@@ -656,6 +704,9 @@ ORACLES: dict[str, str] = {
         "GROUP BY source",
     ),
     "top_k": _with(VECTORS, "SELECT query_id, rank, id, round(score, 6) AS score FROM top3"),
+    "top_k_in_blocks": _with(
+        VECTORS, "SELECT query_id, rank, id, round(score, 6) AS score FROM top3"
+    ),
     "matched_chunks": _with(
         VECTORS, "SELECT query_id, 'R' || rank AS label, source, heading, content FROM top3"
     ),
@@ -693,7 +744,7 @@ ORACLES: dict[str, str] = {
         "SELECT CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS \"Result\", name AS \"Case\", "
         "CASE WHEN answerable THEN 'Answer' ELSE 'Reject' END AS \"Expected behavior\", "
         'expected_source AS "Expected", retrieved_source AS "Retrieved", '
-        'retrieved_heading AS "Section" FROM evaluated',
+        'retrieved_heading AS "Section", CAST(round(CAST(score AS DECIMAL(18, 6)), 3) AS DOUBLE) AS "Similarity" FROM evaluated',
     ),
     "optional_cases": _with(
         VECTORS,
@@ -703,15 +754,13 @@ ORACLES: dict[str, str] = {
     ),
     "incident_query": _with(
         LINES,
-        "SELECT incident_id, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, "
-        "string_agg(service || ': ' || message, chr(10) ORDER BY ts, line_number) AS query "
-        "FROM ser GROUP BY incident_id",
+        _parts("searched", "ser", "service || ': ' || message"),
+        f"SELECT s.incident_id, {_part_columns('s')}, lines AS query FROM searched s",
     ),
     "log_evidence": _with(
         LINES,
         EVIDENCE,
-        "SELECT incident_id, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, evidence "
-        "FROM evidence",
+        f"SELECT e.incident_id, {_part_columns('e')}, lines AS evidence FROM evidence_parts e",
     ),
     "runbook_evidence": _with(VECTORS, RUNBOOKS, "SELECT * FROM runbooks"),
     "analysis_prompt": _with(
@@ -719,34 +768,37 @@ ORACLES: dict[str, str] = {
         EVIDENCE,
         VECTORS,
         RUNBOOKS,
-        f"""SELECT i.incident_id, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
-              {_quoted(fixed.ANALYSIS_PROMPT_HEAD)} || coalesce(e.evidence, '')
-              || {_quoted(fixed.ANALYSIS_PROMPT_MIDDLE)} || coalesce(r.runbook_evidence, '')
-              || {_quoted(fixed.ANALYSIS_PROMPT_TAIL)} AS prompt
-            FROM (SELECT DISTINCT incident_id FROM ev) i LEFT JOIN evidence e USING (incident_id)
-            LEFT JOIN runbooks r ON 'incident-' || r.query_id = i.incident_id""",
+        f"""SELECT i.incident_id, {_part_columns("e")},
+              {_quoted(fixed.ANALYSIS_SYSTEM_PROMPT)} AS system,
+              CASE WHEN coalesce(e.part, 1) = 1 THEN {_quoted(fixed.ANALYSIS_PROMPT_HEAD)}
+                ELSE '' END || coalesce(e.lines, '')
+              || CASE WHEN coalesce(e.part = e.parts, true) THEN
+                {_quoted(fixed.ANALYSIS_PROMPT_MIDDLE)} || coalesce(r.runbook_evidence, '')
+                || {_quoted(fixed.ANALYSIS_PROMPT_TAIL)} ELSE '' END AS prompt
+            FROM (SELECT DISTINCT incident_id FROM ev) i
+            LEFT JOIN evidence_parts e USING (incident_id)
+            CROSS JOIN ({incident_number_sql()}) n
+            LEFT JOIN runbooks r ON i.incident_id = CASE WHEN r.query_id = n.incidents
+              THEN 'incident-hot' WHEN r.query_id < n.incidents THEN 'incident-' || r.query_id END""",
     ),
     "qa_prompt": _with(
-        LINES,
-        EVIDENCE,
         VECTORS,
         RUNBOOKS,
         QUESTIONS,
-        f"""SELECT s.question_id, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
+        f"""SELECT s.question_id, {_quoted(fixed.QA_SYSTEM_PROMPT % fixed.ASSISTANT_NAME)} AS system,
               {_quoted(fixed.QA_PROMPT_QUESTION)}
               || regexp_replace(s.question, '^\\s+|\\s+$', '', 'g')
               || {_quoted(fixed.QA_PROMPT_SCOPE)}
               || CASE WHEN s.needs_logs THEN {_quoted(fixed.QA_INCIDENT_SCOPE)}
                       ELSE {_quoted(fixed.QA_DEFINITION_SCOPE)} END
-              || {_quoted(fixed.QA_PROMPT_LOGS)}
-              || CASE WHEN s.needs_logs
-                   THEN coalesce(e.evidence, {_quoted(fixed.QA_NO_SERIOUS_EVENTS)})
-                   ELSE {_quoted(fixed.QA_NO_LOGS)} END
-              || {_quoted(fixed.QA_PROMPT_RUNBOOKS)}
+              || {_quoted(fixed.QA_PROMPT_LOGS)} AS head,
+              CASE WHEN s.needs_logs THEN s.incident_id END AS evidence_of,
+              CASE WHEN s.needs_logs THEN {_quoted(fixed.QA_NO_SERIOUS_EVENTS)}
+                   ELSE {_quoted(fixed.QA_NO_LOGS)} END AS without_evidence,
+              {_quoted(fixed.QA_PROMPT_RUNBOOKS)}
               || CASE WHEN trim(s.question) = '' THEN '' ELSE coalesce(r.runbook_evidence, '') END
-              || {_quoted(fixed.QA_PROMPT_TAIL)} AS prompt
-            FROM scoped s LEFT JOIN evidence e USING (incident_id)
-            LEFT JOIN runbooks r ON r.query_id = s.conv_id""",
+              || {_quoted(fixed.QA_PROMPT_TAIL)} AS tail
+            FROM scoped s LEFT JOIN runbooks r ON r.query_id = s.conv_id""",
     ),
     "normalize_citations": _with(ANSWERS, f"SELECT answer_id, {_NORMALIZED} AS answer FROM answers"),
     "attach_context": _with(
@@ -765,7 +817,7 @@ ORACLES: dict[str, str] = {
                 CASE WHEN a.include_logs AND NOT regexp_matches(a.answer, '\\[L\\d+\\]')
                   THEN f.log_line END) AS added
               FROM answers a
-              LEFT JOIN top3 t ON t.query_id = a.answer_id AND t.rank = 1
+              LEFT JOIN top3 t ON t.query_id = a.answer_id // 100 AND t.rank = 1
               LEFT JOIN first_ser f USING (incident_id))""",
         f"""SELECT answer_id, CASE WHEN added = '' THEN answer
               ELSE regexp_replace(answer, '\\s+$', '') || {_quoted(fixed.SOURCE_CONTEXT_HEAD)} || added
@@ -787,11 +839,18 @@ ORACLES: dict[str, str] = {
            FROM answers a LEFT JOIN unbacked u USING (answer_id)""",
     ),
     "action_texts": _with(INDEX, ACTIONS, "SELECT source, md5(actions) AS actions_md5 FROM actions"),
-    "quick_report": _with(LINES, causes_cte("ev"), FIRST_SEEN, INDEX, ACTIONS, _REPORT.lstrip()).replace(
-        " propagation AS", ", propagation AS", 1
+    "quick_report": _with(
+        LINES, causes_cte("ev"), FIRST_SEEN, INDEX, ACTIONS, _PROPAGATION, _REPORT
     ),
     "report_signature": _with(LINES, _MASKED, SIGNED, "SELECT * FROM signed"),
     "upsert_reports": _with(LINES, _MASKED, MERGED, "SELECT * FROM merged"),
+    "upsert_repeated_reports": _with(
+        LINES,
+        _MASKED,
+        MERGED,
+        """SELECT * REPLACE (CASE WHEN ends_with(source_name, '1.log') THEN 'copy of ' ELSE '' END
+             || analysis_markdown AS analysis_markdown) FROM merged""",
+    ),
     "recent_reports": _with(
         LINES,
         _MASKED,

@@ -22,7 +22,7 @@ from cinderlog.operators import (
     reports,
     retrieval,
 )
-from cinderlog.plans.driver_tables import DriverTables
+from cinderlog.plans.driver_tables import DriverTables, incident_number_sql
 from cinderlog.session import configure
 from cinderlog.sources.staging import stage
 
@@ -33,6 +33,8 @@ SERIOUS_AND_INFO = ("INFO", "ERROR", "CRITICAL")
 REPLACED_SOURCE = "label-3"
 CREATED_BEFORE = "2024-02-01T00:00:00+00:00"
 CREATED_NOW = "2024-03-01T12:00:00+00:00"
+# Small enough for the largest incident to have many parts at every scale of the given tables.
+QUERY_PART_BYTES = 50_000
 
 
 def query(function: Callable[[DriverTables], DataFrame]) -> Callable[[DriverTables], DataFrame]:
@@ -293,6 +295,15 @@ def top_k(t: DriverTables) -> DataFrame:
     )
 
 
+@query
+def top_k_in_blocks(t: DriverTables) -> DataFrame:
+    """The same search with query vectors of more than one block."""
+    found = retrieval.search(t.query_vectors(), t.vectors(), block_bytes=100_000)
+    return _bigints(
+        found.select("query_id", "rank", "id", F.round("score", 6).alias("score")), "rank"
+    )
+
+
 @query
 def matched_chunks(t: DriverTables) -> DataFrame:
     found = retrieval.with_chunks(retrieval.search(t.query_vectors(), t.vectors()), t.vectors())
@@ -343,21 +354,19 @@ def evaluation_summary(t: DriverTables) -> DataFrame:
 @query
 def evaluation_table(t: DriverTables) -> DataFrame:
     results = evaluation.evaluate_retrieval(t.cases(), t.vectors())
-    return evaluation.evaluation_table(results).select(
-        "Result", "Case", "Expected behavior", "Expected", "Retrieved", "Section"
+    # Rounded in two steps on either side of the comparison.
+    rounded = results.withColumn("score", F.round("score", 6))
+    return evaluation.evaluation_table(rounded).select(
+        "Result", "Case", "Expected behavior", "Expected", "Retrieved", "Section", "Similarity"
     )
 
 
 @query
 def optional_cases(t: DriverTables) -> DataFrame:
     """Cases kept only where their expected source is indexed."""
-    case_sources = t.cases().select("name", "expected_source")
-    indexed = t.index().select(
-        F.regexp_replace("source", "^custom/src", "label-").alias("expected_source")
-    )
-    return case_sources.join(indexed, "expected_source", "left_semi").select(
-        "name", "expected_source"
-    )
+    indexed = t.index().select(F.regexp_replace("source", "^custom/src", "label-").alias("source"))
+    cases = t.cases().select("name", "expected_source")
+    return evaluation.indexed_cases(cases, indexed).select("name", "expected_source")
 
 
 # --- evidence and prompts --------------------------------------------------------------------
@@ -365,12 +374,12 @@ def optional_cases(t: DriverTables) -> DataFrame:
 
 @query
 def incident_query(t: DriverTables) -> DataFrame:
-    return _bigints(evidence.incident_queries(t.staged_events()), "part", "parts")
+    return _bigints(evidence.incident_queries(t.staged_events(), QUERY_PART_BYTES), "part", "parts")
 
 
 @query
 def log_evidence(t: DriverTables) -> DataFrame:
-    return _bigints(evidence.log_evidence(t.staged_events()), "part", "parts")
+    return _bigints(evidence.log_evidence(t.staged_events(), QUERY_PART_BYTES), "part", "parts")
 
 
 @query
@@ -380,23 +389,35 @@ def runbook_evidence(t: DriverTables) -> DataFrame:
 
 
 def _incident_evidence(t: DriverTables) -> DataFrame:
-    """Matches of query n as the evidence of incident n."""
-    found = retrieval.with_chunks(retrieval.search(t.query_vectors(), t.vectors()), t.vectors())
-    name = F.concat(F.lit("incident-"), F.col("query_id").cast("string"))
-    return found.withColumn("incident_id", name)
+    """Matches of query n as the evidence of incident n; the next one is the hot incident's."""
+    # One row, so this is a filter with a bound from the events.
+    count = F.broadcast(t.sql(incident_number_sql(), "events"))
+    asked = t.query_vectors().join(count, F.col("query_id") <= F.col("incidents"))
+    found = retrieval.search(asked, t.vectors())
+    name = F.when(F.col("query_id") == F.col("incidents"), "incident-hot").otherwise(
+        F.concat(F.lit("incident-"), F.col("query_id").cast("string"))
+    )
+    return (
+        retrieval.with_chunks(found, t.vectors())
+        .join(count, F.col("query_id") <= F.col("incidents"))
+        .withColumn("incident_id", name)
+        .drop("incidents")
+    )
 
 
 @query
 def analysis_prompt(t: DriverTables) -> DataFrame:
-    built = prompts.analysis_prompts(t.staged_events(), _incident_evidence(t))
-    return _bigints(built, "part", "parts").select("incident_id", "part", "parts", "prompt")
+    built = prompts.analysis_prompts(t.staged_events(), _incident_evidence(t), QUERY_PART_BYTES)
+    return _bigints(built, "part", "parts").select(
+        "incident_id", "part", "parts", "system", "prompt"
+    )
 
 
 @query
 def qa_prompt(t: DriverTables) -> DataFrame:
+    """The frames; their evidence is the result of ``log_evidence``."""
     found = retrieval.retrieve(t.question_vectors(), t.vectors())
-    built = prompts.qa_prompts(t.questions(), t.staged_events(), found)
-    return _bigints(built, "part", "parts").select("question_id", "part", "parts", "prompt")
+    return prompts.qa_frames(t.questions(), found).drop("incident_id")
 
 
 # --- answers ---------------------------------------------------------------------------------
@@ -410,8 +431,10 @@ def normalize_citations(t: DriverTables) -> DataFrame:
 @query
 def attach_context(t: DriverTables) -> DataFrame:
     found = retrieval.with_chunks(retrieval.search(t.query_vectors(), t.vectors()), t.vectors())
-    best = found.withColumnRenamed("query_id", "answer_id")
-    return audits.attach_source_context(t.answers(), t.events(), best).select(
+    answers = t.answers()
+    conversation = F.floor(F.col("answer_id") / 100)
+    best = found.join(answers.select("answer_id"), F.col("query_id") == conversation).drop("query_id")
+    return audits.attach_source_context(answers, t.events(), best).select(
         "answer_id", "answer"
     )
 
@@ -451,7 +474,11 @@ def action_texts(t: DriverTables) -> DataFrame:
 
 @query
 def quick_report(t: DriverTables) -> DataFrame:
-    return _bigints(reports.quick_reports(t.staged_events(), t.index()), "part", "parts")
+    return _bigints(
+        reports.quick_reports(t.staged_events(), t.index(), part_bytes=QUERY_PART_BYTES),
+        "part",
+        "parts",
+    )
 
 
 def _masked(t: DriverTables) -> DataFrame:
@@ -483,7 +510,9 @@ def _report_tables(t: DriverTables) -> tuple[DataFrame, DataFrame]:
         "left_semi",
     )
     old = known.select(
+        "incident_id",
         "signature",
+        "part",
         "source_name",
         F.lit(CREATED_BEFORE).alias("created_at"),
         "event_count",
@@ -501,7 +530,22 @@ def upsert_reports(t: DriverTables) -> DataFrame:
     return reports.upsert_reports(table, rows)
 
 
+@query
+def upsert_repeated_reports(t: DriverTables) -> DataFrame:
+    """A batch that repeats the signatures of a tenth of the names, saved twice."""
+    table, rows = _report_tables(t)
+    again = rows.filter(F.col("source_name").endswith("1.log")).withColumns(
+        {
+            "incident_id": F.concat("incident_id", F.lit("-copy")),
+            "analysis_markdown": F.concat(F.lit("copy of "), "analysis_markdown"),
+        }
+    )
+    batch = stage(rows.unionByName(again), "report-rows")
+    once = stage(reports.upsert_reports(table, batch), "reports")
+    return reports.upsert_reports(once, batch)
+
+
 @query
 def recent_reports(t: DriverTables) -> DataFrame:
     table, rows = _report_tables(t)
-    return reports.recent_reports(reports.upsert_reports(table, rows), 10)
+    return reports.recent_reports(stage(reports.upsert_reports(table, rows), "reports"), 10)

@@ -53,6 +53,7 @@ EVALUATION_CASES = _struct(
 REPORTS = _struct(
     ("id", T.LongType()),
     ("signature", T.StringType()),
+    ("part", T.IntegerType()),
     ("source_name", T.StringType()),
     ("created_at", T.StringType()),
     ("event_count", T.LongType()),

@@ -31,7 +31,8 @@ def read_uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load(
         paths if isinstance(paths, str) else list(paths)
     )
-    small = F.col("length") <= fixed.DOCUMENT_BYTES
+    known = file_suffix(F.col("path")).isin(*fixed.DOCUMENT_TYPES)
+    small = known & (F.col("length") <= fixed.DOCUMENT_BYTES)
     listed = files.filter(~small).select("path", "length", F.lit(None).cast("binary").alias("content"))
     return extract_documents(
         files.filter(small).select("path", "length", "content").unionByName(listed)

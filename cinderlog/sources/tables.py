@@ -19,12 +19,35 @@ from cinderlog.operators import reports as report_ops
 from cinderlog.schemas import CHUNKS, REPORTS
 from cinderlog.sources.staging import stage
 
+# Buckets of a new table; a table keeps the number it was made with.
 BUCKETS = 64
 _BUCKET = "bucket"
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _facts_path(path: str) -> str:
+    """A small table beside the table: its bucket count and the highest id it ever gave out."""
+    return f"{path.rstrip('/')}.facts"
+
+
+def _facts(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tuple[int, int]:
+    try:
+        row = spark.read.schema("buckets int, highest long").parquet(_facts_path(path)).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return (row["buckets"], row["highest"]) if row else (buckets, 0)
+
+
+def _note(spark: SparkSession, path: str, buckets: int, highest: int) -> None:
+    frame = spark.createDataFrame([(buckets, highest)], "buckets int, highest long")
+    frame.coalesce(1).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).parquet(_facts_path(path))
 
 
 def _stored(schema: T.StructType) -> T.StructType:
@@ -32,80 +55,106 @@ def _stored(schema: T.StructType) -> T.StructType:
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table with its bucket column; empty when it does not exist yet.
-
-    Every rewritten bucket holds one placeholder row without id, which is left out here.
-    """
+    """The table with its bucket column; empty when it does not exist yet."""
     try:
-        table = spark.read.schema(_stored(schema)).parquet(path)
+        return spark.read.schema(_stored(schema)).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _stored(schema))
-    return table.filter(F.col("id").isNotNull())
 
 
-def _write(rows: DataFrame, path: str, key: str, touched: Sequence[int], dynamic: bool) -> None:
-    """Write whole buckets; a touched bucket without rows is emptied by its placeholder."""
-    bucketed = rows.withColumn(_BUCKET, _bucket(F.col(key)))
-    spark = rows.sparkSession
-    if touched:
-        schema = T.StructType([T.StructField(_BUCKET, T.IntegerType())])
-        bucketed = bucketed.unionByName(
-            spark.createDataFrame([(number,) for number in touched], schema),
-            allowMissingColumns=True,
-        )
+def _write(rows: DataFrame, path: str, key: str, touched: Sequence[int] | None, buckets: int) -> None:
+    """Write whole buckets, all of them or the touched ones.
+
+    A touched bucket that has no rows left is emptied through a filter on the whole table's files:
+    its folder is overwritten with a file without rows.
+    """
+    bucketed = rows.withColumn(_BUCKET, _bucket(F.col(key), buckets))
+    writer = bucketed.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite")
     (
-        bucketed.hint("rebalance", F.col(_BUCKET))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+        writer.option("partitionOverwriteMode", "static" if touched is None else "dynamic")
         .partitionBy(_BUCKET)
         .parquet(path)
     )
+    if touched is None:
+        return
+    spark = rows.sparkSession
+    left = {row[_BUCKET] for row in bucketed.select(_BUCKET).distinct().collect()}
+    for number in set(touched) - left:
+        rows.limit(0).coalesce(1).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static"
+        ).parquet(f"{path.rstrip('/')}/{_BUCKET}={number}")
+    spark.catalog.refreshByPath(path)
 
 
-def _touched(keys: DataFrame, key: str) -> list[int]:
-    """The bucket numbers of some keys: at most ``BUCKETS`` small integers."""
-    rows = keys.select(_bucket(F.col(key)).alias(_BUCKET)).distinct().collect()
+def _touched(keys: DataFrame, key: str, buckets: int) -> list[int]:
+    """The bucket numbers of some keys: at most ``buckets`` small integers."""
+    rows = keys.select(_bucket(F.col(key), buckets).alias(_BUCKET)).distinct().collect()
     return sorted(row[_BUCKET] for row in rows)
 
 
+def _require_unique(chunks: DataFrame) -> None:
+    repeated = chunk_index.duplicate_keys(chunks).first()
+    if repeated is not None:
+        raise ValueError(
+            f"section {repeated['heading']!r} of source {repeated['source']!r} "
+            f"occurs {repeated['chunks']} times"
+        )
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, CHUNKS).drop(_BUCKET)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Full rebuild: the table holds exactly the given chunks afterwards."""
-    _write(chunks.select(*CHUNKS.fieldNames()), path, "source", [], dynamic=False)
+def write_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Full rebuild: the table holds exactly the given chunks afterwards.
+
+    A repeated (source, heading) fails the write and leaves the table as it was.
+    """
+    spark = chunks.sparkSession
+    rows = stage(chunks.select(*CHUNKS.fieldNames()), "chunk-rows")
+    _require_unique(rows)
+    highest = max(_facts(spark, path)[1], rows.agg(F.max("id")).first()[0] or 0)
+    _note(spark, path, buckets, highest)
+    _write(rows, path, "source", None, buckets)
 
 
 def replace_in_table(documents: DataFrame, path: str, embed: chunk_index.Embedder) -> DataFrame:
     """Index ``(source, text)`` documents, replacing the chunks their sources had.
 
-    A document without any text fails the job.  Returns the new chunk count per source.
+    A document without any text, or a repeated (source, heading), fails the job and leaves the table as
+    it was.  Ids go on after the highest one ever given.  Returns the new chunk count per source.
     """
     spark = documents.sparkSession
     stored = _read(spark, path, CHUNKS)
-    highest = stored.agg(F.max("id").alias("highest")).first()["highest"] or 0
+    buckets, highest = _facts(spark, path)
+    highest = max(highest, stored.agg(F.max("id")).first()[0] or 0)
     fresh = stage(chunk_index.build_index(documents, embed, highest + 1), "fresh-chunks")
     without_text = documents.select("source").distinct().join(fresh, "source", "left_anti")
     if not without_text.isEmpty():
         raise ValueError("Document does not contain extractable text.")
-    buckets = _touched(fresh, "source")
-    kept = stored.filter(F.col(_BUCKET).isin(buckets)).drop(_BUCKET)
-    _write(chunk_index.replace_sources(kept, fresh), path, "source", buckets, dynamic=True)
+    _require_unique(fresh)
+    touched = _touched(fresh, "source", buckets)
+    kept = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
+    merged = stage(chunk_index.replace_sources(kept, fresh), "merged-chunks")
+    _note(spark, path, buckets, max(highest, fresh.agg(F.max("id")).first()[0] or 0))
+    _write(merged, path, "source", touched, buckets)
     return chunk_index.source_counts(fresh)
 
 
 def delete_from_table(spark: SparkSession, path: str, source: str) -> int:
     """Remove the chunks of one source; returns how many there were."""
     stored = _read(spark, path, CHUNKS)
-    removed = stored.filter(F.col("source") == source).count()
+    buckets, highest = _facts(spark, path)
+    keys = spark.createDataFrame([(source,)], "source string")
+    touched = _touched(keys, "source", buckets)
+    bucket = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
+    removed = bucket.filter(F.col("source") == source).count()
     if removed:
-        keys = spark.createDataFrame([(source,)], "source string")
-        buckets = _touched(keys, "source")
-        kept = stored.filter(F.col(_BUCKET).isin(buckets)).drop(_BUCKET)
-        _write(chunk_index.without_sources(kept, [source]), path, "source", buckets, dynamic=True)
+        _note(spark, path, buckets, max(highest, stored.agg(F.max("id")).first()[0] or 0))
+        kept = stage(chunk_index.without_sources(bucket, [source]), "kept-chunks")
+        _write(kept, path, "source", touched, buckets)
     return removed
 
 
@@ -114,27 +163,40 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_reports(rows: DataFrame, path: str) -> DataFrame:
-    """Merge report rows into the table; returns ``(id, signature)`` of the saved reports."""
+    """Merge report rows into the table; returns ``(id, signature)`` of the saved reports.
+
+    Only the buckets of the rows' signatures are read and written, and of the others the ids alone.
+    """
     spark = rows.sparkSession
     rows = stage(rows, "report-rows")
-    merged = stage(report_ops.upsert_reports(read_reports(spark, path), rows), "reports")
-    buckets = _touched(rows, "signature")
-    changed = merged.withColumn(_BUCKET, _bucket(F.col("signature"))).filter(
-        F.col(_BUCKET).isin(buckets)
-    )
-    _write(changed.drop(_BUCKET), path, "signature", buckets, dynamic=True)
-    return merged.join(rows.select("signature"), "signature", "left_semi").select(
-        "id", "signature"
-    )
+    buckets, highest = _facts(spark, path)
+    stored = _read(spark, path, REPORTS)
+    highest = max(highest, stored.agg(F.max("id")).first()[0] or 0)
+    touched = _touched(rows, "signature", buckets)
+    near = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
+    merged = stage(report_ops.upsert_reports(near, rows, highest), "reports")
+    _note(spark, path, buckets, max(highest, merged.agg(F.max("id")).first()[0] or 0))
+    _write(merged, path, "signature", touched, buckets)
+    saved = rows.select("signature").distinct()
+    return merged.where("part = 1").join(saved, "signature", "left_semi").select("id", "signature")
 
 
 def export_markdown(reports: DataFrame, path: str, key: str = "id") -> None:
-    """Write one Markdown text file per report, in a folder named by the report's key.
+    """Write each report as Markdown, in a folder named by the report's key.
 
-    A file ends in a line feed behind the text.
+    A report is one file, and a line feed follows its text.  Parts of one report stay together, in
+    order, one after the other; the line feed then follows each part.
     """
+    part = F.col("part") if "part" in reports.columns else F.lit(1)
     (
-        reports.select(F.col(key).alias("report_id"), F.col("analysis_markdown").alias("value"))
+        reports.select(
+            F.col(key).alias("report_id"),
+            F.col("analysis_markdown").alias("value"),
+            part.alias("_part"),
+        )
+        .repartition("report_id")
+        .sortWithinPartitions("report_id", "_part")
+        .drop("_part")
         .write.mode("overwrite")
         .partitionBy("report_id")
         .text(path)

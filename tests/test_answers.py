@@ -136,8 +136,9 @@ def test_long_prompt_comes_in_parts(frame, events_of):
     found = events_of(a=[f"{START}{n % 10} ERROR s - m{n}" for n in range(30)])
     none = frame(MATCH, ("z", 1, "a", "b", "c")).filter("false")
     whole = prompts.analysis_prompts(found, none).first().prompt
-    parts = prompts.analysis_prompts(found, none, part_lines=7).orderBy("part").collect()
-    assert [(r.part, r.parts) for r in parts] == [(n, 5) for n in range(1, 6)]
+    parts = prompts.analysis_prompts(found, none, part_bytes=250).orderBy("part").collect()
+    assert [(r.part, r.parts) for r in parts] == [(n, len(parts)) for n in range(1, len(parts) + 1)]
+    assert 4 <= len(parts) <= 6
     assert "".join(r.prompt for r in parts) == whole
 
 
@@ -202,26 +203,55 @@ def test_quick_report(frame, events_of):
 LINE = "2026-08-06 14:03:12 ERROR database - Pool exhausted"
 
 
+def signed_by_hand(name, lines, block):
+    """The signature rule over a plain list of lines in event order."""
+    digest = lambda texts: hashlib.sha256("\n".join(texts).encode()).hexdigest()
+    for _ in range(2):
+        lines = [digest(lines[n : n + block]) for n in range(0, len(lines), block)]
+    return digest([name, *lines])
+
+
 def test_signature(events_of):
     found = events_of(**{"incident.log": [LINE]})
     row = reports.signatures(found, F.col("incident_id")).first()
-    assert row.signature == "4f0735f9464cbec27bf78a099e2a7da9644516ea5319fc098324583b2f1399f7"
+    assert row.signature == signed_by_hand("incident.log", [LINE], 1000)
 
 
-def test_signature_of_a_long_incident_covers_every_line(events_of):
-    texts = [f"{START}{n % 10} ERROR s - m{n}" for n in range(20)]
+def test_signature_of_a_long_incident_covers_every_line(events_of, monkeypatch):
+    monkeypatch.setattr(reports, "SIGNATURE_LINES", 3)
+    texts = [f"{START}{n % 10} ERROR s - m{n}" for n in range(40)]
     changed = texts[:-1] + [texts[-1] + "!"]
     signed = [
-        reports.signatures(events_of(a=each), F.lit("n"), part_lines=6).first().signature
+        reports.signatures(events_of(a=each), F.lit("n")).first().signature
         for each in (texts, texts, changed)
     ]
     assert signed[0] == signed[1] != signed[2]
     ordered = sorted(enumerate(texts), key=lambda item: (item[1][:19], item[0]))
-    raw = [text for _, text in ordered]
-    parts = ["\n".join(raw[n : n + 6]) for n in range(0, 20, 6)]
-    parts = [part if n == 0 else "\n" + part for n, part in enumerate(parts)]
-    digests = [hashlib.sha256(part.encode()).hexdigest() for part in parts]
-    assert signed[0] == hashlib.sha256("\n".join(["n", *digests]).encode()).hexdigest()
+    assert signed[0] == signed_by_hand("n", [text for _, text in ordered], 3)
+
+
+def test_reports_share_a_signature_once(spark, events_of, frame, tmp_path):
+    path = str(tmp_path / "reports")
+    found = events_of(a=[LINE], b=[LINE], c=[LINE + "!"])
+    schema = "incident_id string, part int, analysis_markdown string"
+
+    def save(created, *texts):
+        rows = reports.report_rows(found, frame(schema, *texts), F.lit(created), F.lit("one.log"))
+        return sorted(r.id for r in tables.save_reports(rows, path).collect())
+
+    long = [("a", 1, "old"), ("b", 1, "x1"), ("b", 2, "x2"), ("b", 3, "x3"), ("c", 1, "c")]
+    for _ in range(2):
+        assert save("2026-01-01T00:00:00+00:00", *long) == [1, 2]
+        stored = tables.read_reports(spark, path).orderBy("analysis_markdown").collect()
+        assert [(r.part, r.analysis_markdown) for r in stored] == [(1, "c"), (1, "x1"), (2, "x2"), (3, "x3")]
+        assert len({r.id for r in stored if r.analysis_markdown != "c"}) == 1
+    recent = reports.recent_reports(tables.read_reports(spark, path), 2).collect()
+    assert len(recent) == 4
+    save("2026-01-02T00:00:00+00:00", ("b", 1, "short"))
+    stored = tables.read_reports(spark, path).collect()
+    assert sorted(r.analysis_markdown for r in stored) == ["c", "short"]
+    newest = reports.recent_reports(tables.read_reports(spark, path), 1).collect()
+    assert [r.analysis_markdown for r in newest] == ["short"]
 
 
 def test_report_table(spark, events_of, frame, tmp_path):

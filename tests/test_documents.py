@@ -17,8 +17,8 @@ def enumerate_texts(texts):
 
 
 def test_sections(frame):
-    assert sections(frame, "# Runbook\nIntro\n## Response\nRestart safely") == [
-        ("Runbook", "Intro"), ("Response", "Restart safely"),
+    assert sections(frame, "# Disk full\nWhat happens\n### Clean up\nRotate files") == [
+        ("Disk full", "What happens"), ("Clean up", "Rotate files"),
     ]
     assert sections(frame, "before\r\n\r\n#A \x0btext\n# Empty\n##\nno title\n #no") == [
         ("Overview", "before"), ("A", "text"), ("", "no title\n #no"),
@@ -32,7 +32,7 @@ def packed(frame, text, size):
 
 
 def test_packing(frame):
-    assert [len(part) for part in packed(frame, "A" * 25, 10)] == [10, 10, 5]
+    assert [len(part) for part in packed(frame, "z" * 31, 12)] == [12, 12, 7]
     assert packed(frame, "aaaa\n\nbbb\n\n" + "c" * 12 + "\n\ndd", 10) == [
         "aaaa\n\nbbb", "c" * 10, "cc", "dd",
     ]
@@ -159,6 +159,35 @@ def test_index_at_rest(spark, frame, tmp_path):
         tables.replace_in_table(frame("source string, text string", ("e", " ")), path, embed)
 
 
+def test_keys_are_kept_unique(spark, frame, tmp_path):
+    embed = embedding.hashed_words(8)
+    path = str(tmp_path / "index")
+    schema = "source string, text string"
+    twice = frame("path string, source string, text string", ("a/r.md", "custom/r.md", "one"),
+                  ("b/r.md", "custom/r.md", "# H\ntwo"), ("c", "x.md", "three"))
+    built = index.build_index(twice, embed).orderBy("id").collect()
+    assert [(r.id, r.source, r.content) for r in built] == [(1, "custom/r.md", "two"), (2, "x.md", "three")]
+    tables.write_chunks(index.build_index(twice, embed), path, buckets=4)
+
+    # A numbered heading can meet one that is spelled with the same number.
+    clash = frame(schema, ("x.md", "# A\n1\n# A\n2\n# A (2)\n3"))
+    if index.duplicate_keys(index.build_index(clash, embed)).count():
+        with pytest.raises(ValueError, match="occurs 2 times"):
+            tables.replace_in_table(clash, path, embed)
+    same = tables.read_chunks(spark, path)
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        tables.write_chunks(same.unionByName(same), path)
+    assert sorted(r.id for r in tables.read_chunks(spark, path).collect()) == [1, 2]
+    repeated = frame(schema, ("y.md", "first"), ("y.md", "second"))
+    tables.replace_in_table(repeated, path, embed)
+    stored = tables.read_chunks(spark, path).filter("source = 'y.md'").collect()
+    assert [(r.id, r.content) for r in stored] == [(3, "second")]
+    assert tables.delete_from_table(spark, path, "y.md") == 1
+    assert spark.read.parquet(path).filter("id is null").count() == 0
+    tables.replace_in_table(repeated, path, embed)
+    assert tables.read_chunks(spark, path).agg({"id": "max"}).first()[0] == 4
+
+
 def test_embedder_from_a_function(frame):
     embed = embedding.from_function(lambda text: [float(len(text)), 1.0])
     row = embed(frame("text string", ("abc",))).first()

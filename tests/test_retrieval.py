@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderlog.functions.vectors import cosine, from_json_text, to_json_text
-from cinderlog.operators import evaluation, retrieval
+from cinderlog.operators import embedding, evaluation, retrieval
 
 CHUNK = "id long, source string, heading string, content string, embedding array<float>"
 
@@ -145,3 +145,28 @@ def test_available_cases(spark, frame, two):
     queue = frame(CHUNK, (3, "custom/message_queue_runbook.txt", "H", "c", [0.0, 1.0]),
                   (4, "custom/message_queue_runbook.txt", "I", "c", [0.0, 1.0]))
     assert evaluation.available_cases(spark, two.unionByName(queue)).count() == 6
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+@pytest.mark.parametrize("block_bytes", [retrieval.BLOCK_BYTES, 8])
+def test_numbers_that_are_not_finite_fail_the_search(frame, two, bad, block_bytes):
+    queries = frame("query_id long, embedding array<float>", (7, [0.9, 0.1]), (8, [0.1, 0.2]))
+    broken = two.unionByName(frame(CHUNK, (3, "x.md", "X", "c", [bad, 1.0])))
+    with pytest.raises(Exception, match="NaN or infinite"):
+        retrieval.search(queries, broken, 1, block_bytes).collect()
+    worse = frame("query_id long, embedding array<float>", (7, [bad, 0.1]), (8, [0.1, 0.2]))
+    with pytest.raises(Exception, match="NaN or infinite"):
+        retrieval.search(worse, two, 1, block_bytes).collect()
+
+
+def test_query_texts_are_embedded_once(spark, frame, two):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        calls.add(1)
+        return [float(len(text)), 1.0]
+
+    texts = frame("query_id long, text string", *((n, "q" * n) for n in range(1, 11)))
+    queries = embedding.from_function(embed)(texts)
+    assert retrieval.search(queries, two, 1).count() == 10
+    assert calls.value == 10

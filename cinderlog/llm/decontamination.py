@@ -276,7 +276,8 @@ def _find(automaton: SuffixAutomaton, text: Column, most_hit: float | None = Non
             yield pa.array(out, type=_ARROW)
 
     found.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(found, _FOUND)(text.cast("binary"))
+    # Held as not deterministic, so that a filter on what is found does not match the texts twice.
+    return arrow_udf(found, _FOUND).asNondeterministic()(text.cast("binary"))
 
 
 def _joined(first: Column, second: Column) -> Column:

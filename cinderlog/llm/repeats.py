@@ -26,7 +26,9 @@ GRAM = 33
 # Offsets per bin in each round.  The first takes all offsets of an anchor, the last single windows.
 BINS = (LENGTH - GRAM + 1, 46, 8, 1)
 # Windows of a text that are worked on at once; a power of two.
-_STRETCH = 1 << 20
+_STRETCH = 1 << 17
+# Bins that a task holds before it hands them on.
+_HELD_BINS = 1 << 15
 
 _BINS_TYPE = "core long, whole long, row long, anchor long, first long, last long"
 _BINS_ARROW = pa.schema([(field.split()[0], pa.int64()) for field in _BINS_TYPE.split(", ")])
@@ -154,7 +156,7 @@ def _bins(texts: DataFrame, size: int, length: int) -> DataFrame:
                 bins = bins_of(text, ranges, size, length)
                 held.append(np.vstack([bins[:2], np.full((1, bins.shape[1]), row), bins[2:]]))
                 count += bins.shape[1]
-                if count > 1 << 18:
+                if count > _HELD_BINS:
                     yield _batch(held)
                     held, count = [], 0
             if held:

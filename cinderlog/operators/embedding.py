@@ -1,6 +1,6 @@
 """Embedders: frames with a ``text`` column gain ``embedding array<float>``.
 
-Any function of that shape can be used; two are given here.
+Any function of that shape can be used; three are given here.
 """
 
 from __future__ import annotations
@@ -30,6 +30,25 @@ def hashed_words(dimensions: int = 256) -> Callable[[DataFrame], DataFrame]:
     return embed
 
 
+def term_counts(terms: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """How often each term occurs, as written and without overlap: one dimension a term, no model.
+
+    A text without any of the terms gets zeros, which score 0 with every query; null is an empty text.
+    """
+    if not terms or not all(terms):
+        raise ValueError("terms must not be empty")
+
+    def embed(texts: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        counts = [
+            (F.length(text) - F.length(F.replace(text, F.lit(term)))) / F.lit(len(term))
+            for term in terms
+        ]
+        return texts.withColumn("embedding", F.array(*(count.cast("float") for count in counts)))
+
+    return embed
+
+
 def from_function(function: Callable[[str], Sequence[float]]) -> Callable[[DataFrame], DataFrame]:
     """Wrap a plain ``text -> vector`` function; runs in Arrow batches inside the tasks."""
 

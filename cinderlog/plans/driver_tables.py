@@ -268,6 +268,7 @@ class DriverTables:
             F.concat(F.lit("case-"), number).alias("name"),
             F.concat(F.lit("label-"), F.col("label").cast("string")).alias("expected_source"),
             (F.col("query_id") % 4 != 0).alias("answerable"),
+            (F.col("query_id") % 9 / F.lit(4.0)).alias("latency_seconds"),
             "embedding",
         )
 

@@ -16,7 +16,12 @@ from cinderlog.plans.driver_tables import (
     index_sql,
     questions_sql,
 )
-from cinderlog.plans.queries import CREATED_NOW, QUERY_PART_BYTES, REPLACED_SOURCE
+from cinderlog.plans.queries import (
+    CREATED_NOW,
+    EMBEDDED_TERMS,
+    QUERY_PART_BYTES,
+    REPLACED_SOURCE,
+)
 
 SERIOUS = "level IN ('WARNING', 'ERROR', 'CRITICAL')"
 
@@ -330,12 +335,13 @@ gated AS (
 EVALUATED = f"""
 judged AS (
   SELECT q.query_id AS case_id, 'case-' || q.query_id AS name, 'label-' || q.label AS expected_source,
-    q.query_id % 4 <> 0 AS answerable, t.source, t.heading, t.score,
+    q.query_id % 4 <> 0 AS answerable, CAST(q.query_id % 9 AS DOUBLE) / 4 AS latency_seconds,
+    t.source, t.heading, t.score,
     t.score >= {fixed.RELEVANCE_THRESHOLD} AS accepted
   FROM qs q JOIN top3 t USING (query_id) WHERE t.rank = 1
 ),
 evaluated AS (
-  SELECT case_id, name, expected_source, answerable,
+  SELECT case_id, name, expected_source, answerable, latency_seconds,
     CASE WHEN accepted THEN source ELSE 'REJECT' END AS retrieved_source,
     heading AS retrieved_heading, round(score, 6) AS score, accepted,
     CASE WHEN answerable THEN accepted AND source = expected_source ELSE NOT accepted END AS passed
@@ -673,6 +679,16 @@ ORACLES: dict[str, str] = {
         "SELECT row_number() OVER (ORDER BY source, position) AS id, source, heading, "
         "CAST(256 AS INTEGER) AS dimensions FROM doc_chunks",
     ),
+    "build_index_values": _with(
+        _DOCUMENTS,
+        _PACKED,
+        "SELECT row_number() OVER (ORDER BY source, position) AS id, source, heading, "
+        + " || ',' || ".join(
+            f"CAST((length(t) - length(replace(t, {_quoted(term)}, ''))) // {len(term)} AS STRING)"
+            for term in EMBEDDED_TERMS
+        )
+        + " AS embedding FROM (SELECT *, heading || chr(10) || content AS t FROM doc_chunks)",
+    ),
     "chunk_count": _with(INDEX, "SELECT count(*) AS chunk_count FROM idx"),
     "chunk_sources": _with(
         INDEX,
@@ -736,7 +752,8 @@ ORACLES: dict[str, str] = {
         VECTORS,
         EVALUATED,
         "SELECT count(*) FILTER (passed) AS passed, count(*) AS cases, "
-        "round(count(*) FILTER (passed) / count(*) * 100, 6) AS accuracy_percent FROM evaluated",
+        "round(count(*) FILTER (passed) / count(*) * 100, 6) AS accuracy_percent, "
+        "avg(latency_seconds) AS mean_latency_seconds FROM evaluated",
     ),
     "evaluation_table": _with(
         VECTORS,
@@ -744,7 +761,8 @@ ORACLES: dict[str, str] = {
         "SELECT CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS \"Result\", name AS \"Case\", "
         "CASE WHEN answerable THEN 'Answer' ELSE 'Reject' END AS \"Expected behavior\", "
         'expected_source AS "Expected", retrieved_source AS "Retrieved", '
-        'retrieved_heading AS "Section", CAST(round(CAST(score AS DECIMAL(18, 6)), 3) AS DOUBLE) AS "Similarity" FROM evaluated',
+        'retrieved_heading AS "Section", CAST(round(CAST(score AS DECIMAL(18, 6)), 3) AS DOUBLE) AS "Similarity", '
+        'round(latency_seconds, 2) AS "Latency (sec)" FROM evaluated',
     ),
     "optional_cases": _with(
         VECTORS,

@@ -192,3 +192,11 @@ def test_embedder_from_a_function(frame):
     embed = embedding.from_function(lambda text: [float(len(text)), 1.0])
     row = embed(frame("text string", ("abc",))).first()
     assert list(row.embedding) == [3.0, 1.0]
+
+
+def test_embedder_that_counts_terms(frame):
+    embed = embedding.term_counts(["aa", "B."])
+    rows = embed(frame("text string", ("aaa B. b. B.",), ("",), (None,))).collect()
+    assert [list(row.embedding) for row in rows] == [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
+    with pytest.raises(ValueError, match="empty"):
+        embedding.term_counts(["a", ""])

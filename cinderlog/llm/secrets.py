@@ -144,45 +144,62 @@ def window_span(candidate: Column, limit: float, window: int = WINDOW) -> Column
     return F.aggregate(items, start, step, lambda state: F.struct(state["first"].alias("first"), state["last"].alias("last")))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of every span; all other characters keep their places."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))
+
+    def put(state: Column, span: Column) -> Column:
+        begin, end = F.greatest(state["at"], span["start"]), F.greatest(state["at"], span["end"])
+        before = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), (end - begin).cast("int"))
+        return F.struct(end.alias("at"), F.concat(state["text"], before, blank).alias("text"))
+
+    def rest(state: Column) -> Column:
+        return F.concat(state["text"], F.substring(text, (state["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, put, rest)).otherwise(text)
+
+
+def _class_spans(text: Column, pattern: str, limit: float, allowed: Sequence[str]) -> Column:
+    candidates = F.filter(
+        _located(text, pattern),
+        lambda x: ~F.greatest(*(x["text"].rlike(rule) for rule in allowed)) & x["text"].rlike("[0-9]"),
+    )
+    windows = F.transform(
+        candidates,
+        lambda x: F.struct(x["start"].alias("at"), window_span(x["text"], limit).alias("w")),
+    )
+    found = F.transform(
+        F.filter(windows, lambda x: x["w"]["first"].isNotNull()),
+        lambda x: F.struct(
+            (x["at"] + x["w"]["first"]).cast("bigint").alias("start"),
+            F.lit(KINDS.index("entropy")).alias("kind"),
+            (x["at"] + x["w"]["last"]).cast("bigint").alias("end"),
+        ),
+    )
+    return F.when(text.rlike(pattern), found).otherwise(_none())
+
+
 def entropy_spans(text: Column, taken: Column, allowed: Sequence[str] = ALLOWED) -> Column:
     """Spans with high entropy that overlap none of ``taken``, class by class.
 
-    Candidates are the longest runs of a class's characters; one on the allow-list is no secret.
+    Candidates are the longest runs of a class's characters outside the spans so far: what stands before,
+    between and after spans in one run is judged piece by piece, each by the allow-list too.  One on the
+    allow-list is no secret.
     """
+
+    def more(spans: Column, pattern: str, limit: float) -> Column:
+        free = _blanked(text, F.concat(taken, spans))
+        return F.concat(spans, _bound(free, _with(_class_spans, pattern, limit, allowed)))
+
     spans = _none()
     for _, pattern, limit in CLASSES:
-        held = F.concat(taken, spans)
-        candidates = F.filter(
-            _located(text, pattern),
-            lambda x: ~F.greatest(*(x["text"].rlike(rule) for rule in allowed)) & x["text"].rlike("[0-9]"),
-        )
-        windows = F.transform(
-            candidates,
-            _with(
-                lambda x, limit: F.struct(
-                    x["start"].alias("at"), window_span(x["text"], limit).alias("w")
-                ),
-                limit,
-            ),
-        )
-        found = F.transform(
-            F.filter(windows, lambda x: x["w"]["first"].isNotNull()),
-            lambda x: F.struct(
-                (x["at"] + x["w"]["first"]).cast("bigint").alias("start"),
-                F.lit(KINDS.index("entropy")).alias("kind"),
-                (x["at"] + x["w"]["last"]).cast("bigint").alias("end"),
-            ),
-        )
-        free = F.filter(
-            found,
-            _with(
-                lambda x, held: ~F.exists(
-                    held, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])
-                ),
-                held,
-            ),
-        )
-        spans = F.concat(spans, F.when(text.rlike(pattern), free).otherwise(_none()))
+        spans = _bound(spans, _with(more, pattern, limit))
     return spans
 
 

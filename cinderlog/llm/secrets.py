@@ -30,7 +30,7 @@ CLASSES = (
 ALLOWED = (
     r"\A[A-Za-z]+\z",
     r"\A[0-9]+\z",
-    r"\A[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)*\z",
+    r"\A[^0-9]*\z",
     r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z",
     r"(?i)example",
 )
@@ -44,6 +44,11 @@ def _with(body: Callable[..., Column], *bound: object) -> Callable[[Column], Col
     return lambda x: body(x, *bound)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _none() -> Column:
     return F.array().cast(_SPAN)
 
@@ -101,7 +106,6 @@ def window_span(candidate: Column, limit: float, window: int = WINDOW) -> Column
     One pass: a step adds a character's count, drops that of the character that leaves the window, and
     keeps the sum of ``c log2 c`` over the counts, from which the entropy follows.
     """
-    letters = F.split(candidate, "", -1)
 
     def changed(counts: Column, letter: Column, by: int) -> Column:
         rest = F.map_filter(counts, lambda k, _: k != letter)
@@ -127,12 +131,16 @@ def window_span(candidate: Column, limit: float, window: int = WINDOW) -> Column
             F.when(reached, item["at"] + 1).otherwise(state["last"]).alias("last"),
         )
 
-    items = F.transform(
-        letters,
-        lambda letter, at: F.struct(
-            letter.alias("new"),
-            F.when(at >= window, F.try_element_at(letters, at - window + 1)).alias("old"),
-            at.cast("int").alias("at"),
+    # Bound, as a step that names the split text would split it anew.
+    items = _bound(
+        F.split(candidate, "", -1),
+        lambda letters: F.transform(
+            letters,
+            lambda letter, at: F.struct(
+                letter.alias("new"),
+                F.when(at >= window, F.try_element_at(letters, at - window + 1)).alias("old"),
+                at.cast("int").alias("at"),
+            ),
         ),
     )
     start = F.struct(
@@ -144,11 +152,6 @@ def window_span(candidate: Column, limit: float, window: int = WINDOW) -> Column
     return F.aggregate(items, start, step, lambda state: F.struct(state["first"].alias("first"), state["last"].alias("last")))
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with spaces in place of every span; all other characters keep their places."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))

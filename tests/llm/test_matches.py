@@ -354,3 +354,12 @@ def test_secrets_by_pieces(frame):
                 expected += row.text[at:start] + "[SECRET]"
             at = max(at, end)
         assert masked[row.id] == (expected + row.text[at:] if spans else row.text)
+
+
+def test_secrets_in_very_long_runs(frame):
+    """The allow-list takes runs of any number of segments."""
+    token = "Zx8Kp3q9LmT2vB7nWc4RyQ1d"
+    texts = ["a/" * 100_000, "a/" * 100_000 + "9", "x_y-" * 100_000 + "=" * 9, "a/" * 100_000 + " " + token]
+    rows = secrets.find_secrets(frame("id long, text string", *enumerate(texts))).collect()
+    got = {r.id: [tuple(s) for s in r.secrets["all"]] for r in rows}
+    assert got == {0: [], 1: [], 2: [], 3: [(200_001, 3, 200_001 + len(token))]}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +173,7 @@ def _blanked(text: Column, spans: Column) -> Column:
 def _class_spans(text: Column, pattern: str, limit: float, allowed: Sequence[str]) -> Column:
     candidates = F.filter(
         _located(text, pattern),
-        lambda x: ~F.greatest(*(x["text"].rlike(rule) for rule in allowed)) & x["text"].rlike("[0-9]"),
+        lambda x: ~reduce(or_, (x["text"].rlike(rule) for rule in allowed), F.lit(False)),
     )
     windows = F.transform(
         candidates,
@@ -193,7 +195,7 @@ def entropy_spans(text: Column, taken: Column, allowed: Sequence[str] = ALLOWED)
 
     Candidates are the longest runs of a class's characters outside the spans so far: what stands before,
     between and after spans in one run is judged piece by piece, each by the allow-list too.  One on the
-    allow-list is no secret.
+    allow-list is no secret: by default also every piece without a digit, and every one with "example" in it.
     """
 
     def more(spans: Column, pattern: str, limit: float) -> Column:

@@ -363,3 +363,13 @@ def test_secrets_in_very_long_runs(frame):
     rows = secrets.find_secrets(frame("id long, text string", *enumerate(texts))).collect()
     got = {r.id: [tuple(s) for s in r.secrets["all"]] for r in rows}
     assert got == {0: [], 1: [], 2: [], 3: [(200_001, 3, 200_001 + len(token))]}
+
+
+def test_allow_list_of_the_caller(frame):
+    """Nothing beside ``allowed`` holds back a key without digits."""
+    key = "qWzRtYpLkJhGfDsXcVbNmQwE"
+    documents = frame("text string", (f"a {key} b",))
+    none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")
+    for allowed, expected in ((secrets.ALLOWED, []), ((), [(2, 3, 26)]), ((r"\A[a-z]+\z",), [(2, 3, 26)])):
+        spans = secrets.entropy_spans(F.col("text"), none, allowed)
+        assert [tuple(s) for s in documents.select(spans.alias("s")).first().s] == expected

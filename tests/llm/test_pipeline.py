@@ -3,7 +3,7 @@
 from zlib import crc32
 
 import pytest
-from test_matches import base_by_hand, components_of, entropy_by_hand, hit_words, print_of
+from test_matches import WORDS, base_by_hand, components_of, entropy_by_hand, hit_words, lowered, print_of
 
 import corpus_pipeline
 from cinderlog.llm import mixing, quality
@@ -98,3 +98,51 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, apply in corpus_pipeline.STAGES:
         assert apply(spark, docs, FOLDER).count() == 0
+
+
+def hit_by_hand(words, items, window=10):
+    """Places of words inside an occurrence of an item's window, or of a whole shorter item."""
+    known = {}
+    for own in items:
+        size = min(window, len(own))
+        known.setdefault(size, set()).update(tuple(own[k : k + size]) for k in range(len(own) - size + 1 if size else 0))
+    hits = set()
+    for size, runs in known.items():
+        for at in range(len(words) - size + 1):
+            if tuple(words[at : at + size]) in runs:
+                hits.update(range(at, at + size))
+    return hits
+
+
+def cut_by_hand(text, items):
+    """The text without runs of hit words, until nothing is hit."""
+    while True:
+        found = list(WORDS.finditer(lowered(text)))
+        hits = hit_by_hand([m.group() for m in found], items)
+        if not hits:
+            return text
+        kept, at = [], 0
+        for k in sorted(hits):
+            if k - 1 not in hits:
+                kept.append(text[at : found[k].start()])
+            at = found[k].end()
+        text = "".join([*kept, text[at:]])
+
+
+def test_documents_are_dropped_and_cut_exactly(spark, passed):
+    before, after = passed[2][3:]
+    items = [WORDS.findall(lowered(r.text)) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    assert len(items) == 40
+    expected, dropped, cut = {}, 0, 0
+    for row in before:
+        words = WORDS.findall(lowered(row.text))
+        hits = hit_by_hand(words, items)
+        if 2 * len(hits) > len(words):
+            dropped += 1
+            continue
+        expected[row.doc_id] = cut_by_hand(row.text, items) if hits else row.text
+        cut += bool(hits)
+    assert {r.doc_id: r.text for r in after} == expected
+    assert len(after) == len(expected)
+    assert cut and len(expected) > cut
+    print("dropped", dropped, "cut", cut, "kept", len(expected))

@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings: prefix doubling on anchored windows.
+"""Exact removal of repeated byte strings: anchored-window comparison, not prefix doubling.
 
 A window is a string of ``length`` bytes.  Sorting every byte position by pairs of ranks would move
 the corpus many times in every round, so positions are ranked in bins.  The anchor of a window is the

@@ -147,8 +147,33 @@ FROM counted
 """
 
 
+_HARD_NEGATIVES = """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS id, a.label = o.label AS same,
+    CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+  FROM sound a JOIN sound o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.*, n.id AS negative_id, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored n USING (anchor_id)
+  WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_preference_formatting": _PREFERENCES,
     "op4_decontamination": _CONTAMINATION,
     "op8_url_filters": _url_filters(),
+    "op12_hard_negatives": _HARD_NEGATIVES,
 }

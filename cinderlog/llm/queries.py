@@ -14,6 +14,7 @@ from cinderlog.llm import (
     decontamination,
     language,
     mixing,
+    negatives,
     quality,
     repeats,
     rules,
@@ -140,6 +141,16 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of every seventh row are moved by one; components are whole 256ths."""
+    rows = _table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    given = rows.where(finite).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return negatives.mine_negatives(given, F.col("vec_id") % 100 == 0)
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -165,6 +176,7 @@ QUERIES: dict[str, Query] = {
         op8_url_filters,
         op9_secrets,
         op10_language,
+        op12_hard_negatives,
         op13_byte_bpe,
     )
 }

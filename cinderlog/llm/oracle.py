@@ -147,6 +147,58 @@ FROM counted
 """
 
 
+# CRC-32 by half bytes; each entry is the remainder of its number.
+_CRC_TABLE = [
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]
+
+_SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00c0-\u00ff]{{7,}}')) AS run
+  FROM documents
+), encoded AS (
+  SELECT run, hex(encode(doc_id || ':' || run)) AS bytes FROM runs
+), hashed AS (
+  SELECT run, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(len(bytes) // 2),
+      lambda i: CAST('0x' || substr(bytes, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(xor(xor(c, b) >> 4, {_CRC_TABLE}[(xor(c, b) & 15) + 1]) >> 4,
+      {_CRC_TABLE}[(xor(xor(c, b) >> 4, {_CRC_TABLE}[(xor(c, b) & 15) + 1]) & 15) + 1])
+  ), 4294967295) AS h
+  FROM encoded
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed
+), counts AS (
+  SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), holes AS (
+  SELECT word, place, substr(word, 1, place) || substr(word, place + 2) AS less
+  FROM (SELECT word, unnest(range(length(word))) AS place FROM counts)
+), links AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.place = b.place AND a.less = b.less AND a.word <> b.word
+  UNION
+  SELECT h.word, c.word FROM holes h JOIN counts c ON h.less = c.word
+  UNION
+  SELECT c.word, h.word FROM holes h JOIN counts c ON h.less = c.word
+), near AS (
+  SELECT l.word, count(*) AS n_near, arg_min(l.other, {{'n': -c.n, 'word': l.other}}) AS other, max(c.n) AS other_n
+  FROM links l JOIN counts c ON c.word = l.other GROUP BY l.word
+), formed AS (
+  SELECT c.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM counts c LEFT JOIN near USING (word)
+), ways AS (
+  SELECT word, form AS root, 1 AS steps FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT w.word, f.form, steps + 1 FROM ways w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN roots USING (word)
+"""
+
 _HARD_NEGATIVES = """
 WITH sound AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -175,5 +227,6 @@ ORACLES: dict[str, str] = {
     "op1_preference_formatting": _PREFERENCES,
     "op4_decontamination": _CONTAMINATION,
     "op8_url_filters": _url_filters(),
+    "op11_spelling_variants": _SPELLING,
     "op12_hard_negatives": _HARD_NEGATIVES,
 }

@@ -20,6 +20,7 @@ from cinderlog.llm import (
     rules,
     secrets,
     simhash,
+    spelling,
     urls,
 )
 
@@ -141,6 +142,17 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """A letter is taken out of every 31st run, by a hash of document and run."""
+    runs = spelling.letter_runs(_table(spark, folder, "documents").select("doc_id", "text"))
+    hashed = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+    runs = runs.withColumn("_hash", hashed)
+    at = (F.col("_hash") % F.length("run")).cast("int")
+    left_out = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = runs.select(F.when(F.col("_hash") % 31 == 0, left_out).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.word_counts(words))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of every seventh row are moved by one; components are whole 256ths."""
     rows = _table(spark, folder, "embeddings")
@@ -176,6 +188,7 @@ QUERIES: dict[str, Query] = {
         op8_url_filters,
         op9_secrets,
         op10_language,
+        op11_spelling_variants,
         op12_hard_negatives,
         op13_byte_bpe,
     )

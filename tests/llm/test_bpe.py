@@ -82,8 +82,9 @@ def test_memo_is_bounded(monkeypatch):
     own = bpe.Encoder(bpe.read_ranks(content_of(VOCABULARIES[0])), PATTERN)
     text = " ".join(f"qz{k}k" for k in range(400)) + " " + "y" * 500
     assert own.decode(own.encode(text)) == text.encode()
-    assert len(own.packed) <= 50 and len(own.compatible) <= 50
-    assert all(len(piece) <= 48 for piece in own.packed)
+    for memo in (own.packed, own.compatible):
+        assert 0 < len(memo) + len(memo.before) <= 50
+    assert all(len(piece) <= 48 for piece in (*own.packed, *own.packed.before))
 
 
 def test_vocabulary_must_hold_all_bytes(tmp_path, frame):

@@ -3,16 +3,16 @@
 The search looks at every chunk for every query, as exactness demands, but never as a join that
 emits pairs.  Chunks stay in the partitions they are read in; each task multiplies its batches
 with a block of query vectors and keeps the best ``limit`` chunks per query.  Only those reach
-the shuffle.  Query vectors of more than one block go through a grid of (chunk cell, query block)
-groups of bounded size instead of a broadcast.
+the shuffle.  Query vectors of more than one block go to the chunks block after block; the
+chunks are read again for each, and never move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import strip
 from cinderlog.sources.staging import broadcast_if_small, stage
 
-# Largest block of query vectors, and of chunk vectors in a grid cell, in bytes of doubles.
+# Largest block of query vectors that is sent to the tasks, in bytes of doubles.
 BLOCK_BYTES = 64 * 1024 * 1024
 # Largest score matrix that is held at once, in numbers.
 _SCORES = 4_000_000
@@ -53,30 +53,36 @@ def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best chunks per query of one block seen so far."""
+    """The best chunks per query of one block seen so far.
 
-    def __init__(self, queries: np.ndarray, limit: int) -> None:
+    ``floor``, if given, is a score per query that chunks need to be of interest.
+    """
+
+    def __init__(self, queries: np.ndarray, limit: int, floor: np.ndarray | None = None) -> None:
         self.queries, self.limit = queries, limit
         self.norms = _norms(queries)
         self.unit = _unit(queries, self.norms)
-        self.floor = np.full(len(queries), -np.inf)
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
         self.query = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.scores = np.empty(0, np.float64)
 
-    def add(self, ids: np.ndarray, chunks: np.ndarray) -> None:
-        rows = max(1, _SCORES // max(1, len(self.queries)))
+    def add(self, ids: np.ndarray, chunks: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Take in chunks, for all queries or those with the ``asked`` places."""
+        asked = np.arange(len(self.queries)) if asked is None else asked
+        rows = max(1, _SCORES // max(1, len(asked)))
         for start in range(0, len(ids), rows):
-            self._add_block(ids[start : start + rows], chunks[start : start + rows])
+            self._add_block(ids[start : start + rows], chunks[start : start + rows], asked)
 
-    def _add_block(self, ids: np.ndarray, chunks: np.ndarray) -> None:
+    def _add_block(self, ids: np.ndarray, chunks: np.ndarray, asked: np.ndarray) -> None:
         norms = _norms(chunks)
-        rough = _unit(chunks, norms) @ self.unit.T
-        floor = self.floor
+        rough = _unit(chunks, norms) @ self.unit[asked].T
+        floor = self.floor[asked]
         if len(ids) > self.limit:
             cut = len(ids) - self.limit
             floor = np.maximum(floor, np.partition(rough, cut, axis=0)[cut])
-        row, query = np.nonzero(rough >= floor - _MARGIN)
+        row, place = np.nonzero(rough >= floor - _MARGIN)
+        query = asked[place]
         scores = np.empty(len(row))
         step = max(1, _SCORES // max(1, chunks.shape[1]))
         for start in range(0, len(row), step):
@@ -99,7 +105,8 @@ class _Best:
         kept = place < self.limit
         self.query, self.ids, self.scores = query[kept], ids[kept], scores[kept]
         full = place[kept] == self.limit - 1
-        self.floor[self.query[full]] = self.scores[full]
+        raised = self.query[full]
+        self.floor[raised] = np.maximum(self.floor[raised], self.scores[full])
 
     def rows(self, query_ids: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -113,61 +120,43 @@ class _Best:
 
 
 _SCORED = "query_id long, id long, score double"
+_RANKED = "query_id long, rank int, id long, score double"
+
+
+def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of staged queries, in blocks of about ``block_bytes`` of doubles."""
+    count, size = _doubles(queries)
+    blocks = -(-size // block_bytes)
+    if count and not size:
+        raise ValueError("vectors must have the same length, at least 1")
+    for number in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        block = own.select("query_id", "embedding").toArrow()
+        if len(block):
+            yield block["query_id"].to_numpy(), _matrix(block["embedding"], None)
 
 
-def _scored_by_broadcast(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Candidates when the (already measured) query vectors form a single block."""
-    block = queries.select("query_id", "embedding").toArrow()
-    query_ids = block["query_id"].to_numpy()
-    vectors = _matrix(block["embedding"], None)
+def _scored(chunks: DataFrame, query_ids: np.ndarray, vectors: np.ndarray, limit: int) -> DataFrame:
+    """Candidates of one block of queries: the best chunks of every task."""
     shared = chunks.sparkSession.sparkContext.broadcast((query_ids, vectors))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         best = _Best(matrix, limit)
         for batch in batches:
             best.add(batch.column(0).to_numpy(), _matrix(batch.column(1), matrix.shape[1]))
         yield best.rows(ids)
 
-    return chunks.select("id", "embedding").mapInArrow(search, _SCORED)
+    return chunks.select("id", "embedding").mapInArrow(find, _SCORED)
 
 
-def _scored_by_grid(
-    chunks: DataFrame, queries: DataFrame, limit: int, cells: int, blocks: int
-) -> DataFrame:
-    """Candidates from a grid of ``cells`` chunk cells by ``blocks`` query blocks."""
-
-    def spread(frame: DataFrame, key: str, own: str, parts: int, other: str, others: int):
-        return frame.select(
-            key,
-            "embedding",
-            F.pmod(F.xxhash64(key), F.lit(parts)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(
-                other
-            ),
-        )
-
-    left = spread(chunks, "id", "cell", cells, "block", blocks)
-    right = spread(queries, "query_id", "block", blocks, "cell", cells)
-
-    def search(cell: pa.Table, block: pa.Table) -> pa.Table:
-        if not len(cell) or not len(block):
-            return pa.table(
-                {
-                    "query_id": pa.array([], pa.int64()),
-                    "id": pa.array([], pa.int64()),
-                    "score": pa.array([], pa.float64()),
-                }
-            )
-        matrix = _matrix(block["embedding"], None)
-        best = _Best(matrix, limit)
-        best.add(cell["id"].to_numpy(), _matrix(cell["embedding"], matrix.shape[1]))
-        return pa.Table.from_batches([best.rows(block["query_id"].to_numpy())])
-
+def best_of(candidates: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` candidates of every query: ``(query_id, rank, id, score)``."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (
-        left.groupBy("cell", "block")
-        .cogroup(right.groupBy("cell", "block"))
-        .applyInArrow(search, _SCORED)
+        candidates.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= limit)
+        .select("query_id", "rank", "id", "score")
     )
 
 
@@ -191,24 +180,15 @@ def search(
     lengths, or with numbers that are not finite, fail the search, as they have no place in a
     ranking.  The query vectors are staged, so an embedder above them runs once.
     """
-    queries = stage(queries.select("query_id", "embedding"), "query-vectors")
-    count, size = _doubles(queries)
-    blocks = -(-size // block_bytes)
-    if blocks <= 1:
-        candidates = _scored_by_broadcast(chunks, queries, limit) if count else _none(chunks)
-    else:
-        cells = max(1, -(-_doubles(chunks)[1] // block_bytes))
-        candidates = _scored_by_grid(chunks, queries, limit, cells, blocks)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-        .select("query_id", "rank", "id", "score")
-    )
-
-
-def _none(chunks: DataFrame) -> DataFrame:
-    return chunks.sparkSession.createDataFrame([], _SCORED)
+    staged = stage(queries.select("query_id", "embedding"), "query-vectors")
+    found = [
+        best_of(_scored(chunks, ids, vectors, limit), limit)
+        for ids, vectors in query_blocks(staged, block_bytes)
+    ]
+    if not found:
+        return chunks.sparkSession.createDataFrame([], _RANKED)
+    # Blocks have different queries, so their results need no second ranking.
+    return reduce(DataFrame.unionByName, found)
 
 
 def with_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -720,6 +720,9 @@ ORACLES: dict[str, str] = {
         "GROUP BY source",
     ),
     "top_k": _with(VECTORS, "SELECT query_id, rank, id, round(score, 6) AS score FROM top3"),
+    "top_k_clustered": _with(
+        VECTORS, "SELECT query_id, rank, id, round(score, 6) AS score FROM top3"
+    ),
     "top_k_in_blocks": _with(
         VECTORS, "SELECT query_id, rank, id, round(score, 6) AS score FROM top3"
     ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from cinderlog.operators import (
     audits,
     causes,
     chunks,
+    clusters,
     domains,
     embedding,
     evaluation,
@@ -24,7 +26,7 @@ from cinderlog.operators import (
 )
 from cinderlog.plans.driver_tables import DriverTables, incident_number_sql
 from cinderlog.session import configure
-from cinderlog.sources.staging import stage
+from cinderlog.sources.staging import stage, staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,6 +318,17 @@ def top_k_in_blocks(t: DriverTables) -> DataFrame:
     )
 
 
+@query
+def top_k_clustered(t: DriverTables) -> DataFrame:
+    """The same search over a clustered table, where clusters that cannot matter are skipped."""
+    path = f"{staging_root(t.spark)}/clustered-{uuid.uuid4().hex}"
+    clusters.write_clustered(t.vectors(), path)
+    found = clusters.search(t.query_vectors(), clusters.read_clustered(t.spark, path))
+    return _bigints(
+        found.select("query_id", "rank", "id", F.round("score", 6).alias("score")), "rank"
+    )
+
+
 @query
 def matched_chunks(t: DriverTables) -> DataFrame:
     found = retrieval.with_chunks(retrieval.search(t.query_vectors(), t.vectors()), t.vectors())

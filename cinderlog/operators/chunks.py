@@ -1,20 +1,17 @@
 """Documents to labelled, size-limited chunks.
 
 A document is one row of bounded size, so everything happens inside the row: no shuffle, and the
-text leaves the JVM at no point.  Only the labels visit a small Arrow helper, which numbers
-repeated ones.
+text leaves the JVM at no point.  Documents of any size are chunked from their lines by
+``long_documents``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cinderlog import fixed_values as fixed
+from cinderlog.functions.stages import pinned
 from cinderlog.functions.text import strip, unify_line_ends
 
 _NEW_LINE = "\n"
@@ -82,19 +79,18 @@ def pack_paragraphs(text: Column, max_characters: int = fixed.CHUNK_CHARACTERS)
     return F.aggregate(paragraphs, start, take, closed)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _occurrences(labels: pd.Series) -> pd.Series:
-    """For every label of a document, how often it has come up so far, itself included."""
-
-    def number(row: list[str]) -> list[int]:
-        seen: Counter[str] = Counter()
-        counts = []
-        for label in row:
-            seen[label] += 1
-            counts.append(seen[label])
-        return counts
+def _occurrences(labels: Column) -> Column:
+    """For every label how often it has come up so far, itself included.
 
-    return labels.map(number)
+    Labels are compared with the earlier ones of their document, which is one row of bounded size;
+    ``long_documents`` numbers those of larger documents by sorting.
+    """
+    return F.transform(
+        labels,
+        lambda label, number: F.size(
+            F.filter(F.slice(labels, 1, number + 1), lambda other: other == label)
+        ),
+    )
 
 
 def split_sections(documents: DataFrame) -> DataFrame:
@@ -110,7 +106,7 @@ def chunk_documents(
     """``(source, position, heading, content)`` chunks with labels unique in a document.
 
     A section in several chunks numbers them ``(part n)``; a label that occurs again gets its
-    occurrence number.  A document without text gives no chunk.
+    occurrence number.  A document without text, or with a null one, gives no chunk.
     """
     packed = F.transform(
         F.col("_sections"),
@@ -133,13 +129,15 @@ def chunk_documents(
         )
 
     staged = (
-        documents.select("source", sections(F.col("text")).alias("_sections"))
+        documents.select("source", sections(F.coalesce("text", F.lit(""))).alias("_sections"))
         .select("source", packed.alias("_packed"))
         .select("source", F.flatten(F.transform("_packed", labelled)).alias("_chunks"))
-        .withColumn("_occurrences", _occurrences(F.col("_chunks.label")))
     )
+    # Each step is computed once: a label list that is computed anew for each label is not.
+    listed = pinned(staged, {"_chunks": F.col("_chunks"), "_labels": F.col("_chunks.label")})
+    counted = listed.withColumn("_occurrences", _occurrences(F.col("_labels")))
     label, occurrence = F.col("col._chunks.label"), F.col("col._occurrences")
-    return staged.select(
+    return counted.select(
         "source", F.posexplode(F.arrays_zip("_chunks", "_occurrences"))
     ).select(
         "source",

@@ -673,6 +673,12 @@ ORACLES: dict[str, str] = {
         "SELECT source, position, heading, length(content) AS characters, "
         "md5(content) AS content_md5 FROM doc_chunks",
     ),
+    "chunk_document_lines": _with(
+        _DOCUMENTS,
+        _PACKED,
+        "SELECT source, position, heading, length(content) AS characters, "
+        "md5(content) AS content_md5 FROM doc_chunks",
+    ),
     "build_index": _with(
         _DOCUMENTS,
         _PACKED,

@@ -19,6 +19,7 @@ from cinderlog.operators import (
     events,
     evidence,
     index,
+    long_documents,
     metrics,
     prompts,
     reports,
@@ -240,6 +241,22 @@ def chunk_documents(t: DriverTables) -> DataFrame:
     )
 
 
+@query
+def chunk_document_lines(t: DriverTables) -> DataFrame:
+    """The same chunks from documents that come line by line."""
+    lines = long_documents.document_lines(t.documents())
+    return _bigints(
+        long_documents.chunk_lines(lines).select(
+            "source",
+            "position",
+            "heading",
+            F.length("content").cast("bigint").alias("characters"),
+            F.md5("content").alias("content_md5"),
+        ),
+        "position",
+    )
+
+
 @query
 def build_index(t: DriverTables) -> DataFrame:
     built = index.build_index(t.documents(), embedding.hashed_words())

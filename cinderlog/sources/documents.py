@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import decode_utf8, file_suffix, source_name, strip
+from cinderlog.sources.logs import read_log_files
 
 
 def read_runbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """``(source, text)`` of the Markdown files in a folder; the source is the file name."""
+    """``(source, text)`` of the Markdown files in a folder; the source is the file name.
+
+    A file is one row; ``read_runbook_lines`` reads files of any size.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
     )
@@ -22,6 +26,21 @@ def read_runbooks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_runbook_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(source, line_number, place, line)`` of the Markdown files in a folder, of any size.
+
+    Files are read in blocks, so no file has to fit into a row.  A line that the reader leaves whole
+    though it holds other line boundaries is cut there; ``place`` orders its parts.  The rows are input of
+    ``long_documents.chunk_lines`` with ``order=("line_number", "place")``.
+    """
+    lines = read_log_files(spark, f"{folder.rstrip('/')}/*.md")
+    return lines.select(
+        F.col("source_name").alias("source"),
+        "line_number",
+        F.posexplode(F.split("raw_line", fixed.LINE_BOUNDARY, -1)).alias("place", "line"),
+    )
+
+
 def read_uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Uploaded files with their extracted text, or the reason there is none.
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from cinderlog.llm.batches import arrow_udf
 
-# Entries of each of the two memos of a Python worker (some 50 MB together).
-MEMO = 1 << 18
+# Entries of each of the two memos of a Python worker (some 100 MB together).
+MEMO = 1 << 19
 # Longer pieces are encoded each time they occur.
 _SHORT = 48
 # Characters of a text whose pieces are listed at once; ids decoded at once.
@@ -120,13 +120,15 @@ class Encoder:
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
             if len(token) > 1 and not self._merge_of(token, rank):
                 continue
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
         for rank in self.born:
             token = self.bytes[rank]
             starts = (ranks.get(token[:end]) for end in range(len(token) - 1, 0, -1))
             self.shorter[rank] = next((r for r in starts if r in self.born), None)
         self.automaton.make_automaton()
-        self.compatible = _Memo(lambda pair: self._stay(*pair))
+        # A pair of tokens as one number.
+        self.span = max(self.bytes) + 1
+        self.compatible = _Memo(lambda pair: self._stay(*divmod(pair, self.span)))
         self.packed = _Memo(self._pack, _SHORT)
 
     def _merge_of(self, token: bytes, rank: int) -> bool:
@@ -163,27 +165,31 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size, shorter, compatible = self.size, self.shorter, self.compatible
+        count, size, shorter, compatible, span = len(piece), self.size, self.shorter, self.compatible, self.span
         # Of the tokens with one start, those that end later come later.
-        longest = [0] * len(piece)
-        for last, token in self.automaton.iter(piece.decode("latin-1")):
-            longest[last + 1 - size[token]] = token
-        open_ = bytearray(b"\x01") * (len(piece) + 1)
+        longest = [0] * count
+        for last, (before, token) in self.automaton.iter(piece.decode("latin-1")):
+            longest[last - before] = token
+        closed = bytearray(count + 1)
         taken: list[int] = []
-        at, token = 0, longest[0] if piece else 0
-        while at < len(piece):
+        at, token, key = 0, longest[0] if count else 0, -1
+        while at < count:
             end = at + size[token]
-            if open_[end] and (not taken or compatible[taken[-1], token]):
+            if not closed[end] and (key < 0 or compatible[key + token]):
                 taken.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else token
-            elif shorter[token] is not None:
-                token = shorter[token]
+                at, key = end, token * span
+                if end < count:
+                    token = longest[end]
             else:
-                # Nothing follows the last token here: no tokens that end at this place do.
-                open_[at] = 0
-                token = taken.pop()
-                at -= size[token]
+                less = shorter[token]
+                if less is None:
+                    # Nothing follows the last token here: no tokens that end at this place do.
+                    closed[at] = 1
+                    token = taken.pop()
+                    at -= size[token]
+                    key = taken[-1] * span if taken else -1
+                else:
+                    token = less
         return taken
 
     def _pack(self, piece: str) -> bytes:

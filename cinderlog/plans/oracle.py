@@ -119,9 +119,15 @@ _RULES = " UNION ALL ".join(
 )
 
 
-def causes_cte(events: str) -> str:
+# A rule for every user beside the fixed ones.
+_USER_RULES = f"""{_RULES} UNION ALL
+  SELECT DISTINCT {len(fixed.CAUSE_RULES)} + user_id, 'Failed sign-ins of user ' || user_id,
+    'authentication_failures.md', ['user-' || user_id || '@mail'] FROM events"""
+
+
+def causes_cte(events: str, rules: str = _RULES) -> str:
     return f"""
-rules AS ({_RULES}),
+rules AS ({rules}),
 rule_hits AS (
   SELECT e.incident_id, e.ts, e.line_number, r.rule
   FROM {events} e JOIN rules r
@@ -657,6 +663,13 @@ ORACLES: dict[str, str] = {
         "SELECT incident_id, line_number, CAST(rule AS BIGINT) AS rule FROM rule_hits",
     ),
     "detect_cause": _with(LINES, causes_cte("ev"), "SELECT * FROM caused"),
+    "cause_matches_by_table": _with(
+        LINES,
+        causes_cte("ev", _USER_RULES),
+        "SELECT incident_id, line_number, CAST(rule AS BIGINT) AS rule FROM rule_hits",
+    ),
+    "detect_cause_by_table": _with(LINES, causes_cte("ev", _USER_RULES), "SELECT * FROM caused"),
+    "detect_domain_by_table": _with(LINES, INCIDENT_DOMAINS, "SELECT * FROM incident_domains"),
     "detect_domain": _with(LINES, INCIDENT_DOMAINS, "SELECT * FROM incident_domains"),
     "question_scope": _with(
         QUESTIONS, "SELECT question_id, needs_logs, question_domain FROM scoped"

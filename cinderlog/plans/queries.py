@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlog import fixed_values as fixed
 from cinderlog.operators import (
     audits,
     causes,
@@ -19,6 +20,7 @@ from cinderlog.operators import (
     events,
     evidence,
     index,
+    keyword_rules,
     long_documents,
     metrics,
     prompts,
@@ -200,6 +202,35 @@ def detect_domain(t: DriverTables) -> DataFrame:
     return domains.incident_domains(t.events())
 
 
+def _user_rules(t: DriverTables) -> DataFrame:
+    """The fixed cause rules and one more for every user."""
+    number, name = F.col("user_id") + len(fixed.CAUSE_RULES), F.col("user_id").cast("string")
+    users = t.table("events").select("user_id").distinct()
+    own = users.select(
+        number.cast("long").alias("rule"),
+        F.concat(F.lit("Failed sign-ins of user "), name).alias("cause"),
+        F.lit("authentication_failures.md").alias("source"),
+        F.concat(F.lit("user-"), name, F.lit("@mail")).alias("keyword"),
+    )
+    return stage(keyword_rules.cause_rules(t.spark).unionByName(own), "cause-rules")
+
+
+@query
+def cause_matches_by_table(t: DriverTables) -> DataFrame:
+    found = keyword_rules.rule_matches(t.events(), _user_rules(t))
+    return found.select("incident_id", "line_number", "rule")
+
+
+@query
+def detect_cause_by_table(t: DriverTables) -> DataFrame:
+    return keyword_rules.detect_causes(t.staged_events(), _user_rules(t))
+
+
+@query
+def detect_domain_by_table(t: DriverTables) -> DataFrame:
+    return keyword_rules.incident_domains(t.staged_events(), keyword_rules.domain_rules(t.spark))
+
+
 @query
 def question_scope(t: DriverTables) -> DataFrame:
     return domains.question_domains(t.questions()).select(

@@ -23,6 +23,34 @@ def embed_chunks(chunks: DataFrame, embed: Embedder) -> DataFrame:
     return embed(texts).drop("text")
 
 
+def embed_unseen(chunks: DataFrame, known: DataFrame, embed: Embedder) -> DataFrame:
+    """Add ``embedding`` to chunks, calling the embedder only for texts that have no vector yet.
+
+    ``known`` holds ``heading``, ``content`` and ``embedding`` of chunks that the same embedder has seen.  A
+    text stands for its vector: it is named by its SHA-256, so the same text in another source or under
+    another id is not embedded again, and a new text that repeats is embedded once.
+
+    ``chunks`` and ``known`` are each read twice and should be staged or stored.
+    """
+    digest = F.sha2(embedding_text(F.col("heading"), F.col("content")), 256)
+    named = chunks.withColumn("_digest", digest)
+    wanted = named.select("_digest").distinct()
+    seen = (
+        known.where(F.col("embedding").isNotNull())
+        .select(digest.alias("_digest"), "embedding")
+        .join(wanted, "_digest", "left_semi")
+        .groupBy("_digest")
+        .agg(F.min("embedding").alias("embedding"))
+    )
+    seen = stage(seen, "known-vectors")
+    unseen = named.join(seen.select("_digest"), "_digest", "left_anti").groupBy("_digest").agg(
+        F.min(embedding_text(F.col("heading"), F.col("content"))).alias("text")
+    )
+    fresh = embed(unseen).select("_digest", F.col("embedding").cast("array<float>").alias("embedding"))
+    vectors = stage(seen.unionByName(fresh), "vectors")
+    return named.join(broadcast_if_small(vectors), "_digest").select(*chunks.columns, "embedding")
+
+
 def one_per_source(documents: DataFrame) -> DataFrame:
     """One document for each source: of several, the last by path, or by text without a path.
 
@@ -42,9 +70,13 @@ def one_per_source(documents: DataFrame) -> DataFrame:
     )
 
 
-def build_index(documents: DataFrame, embed: Embedder, first_id: int = 1) -> DataFrame:
+def build_index(
+    documents: DataFrame, embed: Embedder, first_id: int = 1, known: DataFrame | None = None
+) -> DataFrame:
     """Chunk, embed and number whole documents, in order of source and position.
 
+    With ``known`` chunks only unseen texts are embedded, see ``embed_unseen``.
+
     A source has one document; see ``one_per_source`` for a batch with more.
 
     Ids come from the chunk counts of the sources before, so only (source, count) rows are
@@ -62,6 +94,8 @@ def build_index(documents: DataFrame, embed: Embedder, first_id: int = 1) -> Dat
         .join(broadcast_if_small(offsets), "source")
         .withColumn("id", F.col("_before") + F.col("position") + (first_id - 1))
     )
+    if known is not None:
+        return embed_unseen(stage(numbered, "numbered-chunks"), known, embed).select(*COLUMNS)
     return embed_chunks(numbered, embed).select(*COLUMNS)
 
 

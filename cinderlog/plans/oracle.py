@@ -708,6 +708,19 @@ ORACLES: dict[str, str] = {
         )
         + " AS embedding FROM (SELECT *, heading || chr(10) || content AS t FROM doc_chunks)",
     ),
+    "reused_vectors": _with(
+        _DOCUMENTS,
+        _PACKED,
+        "known AS (SELECT DISTINCT heading || chr(10) || content AS t FROM doc_chunks WHERE position % 2 = 0)",
+        "SELECT source, position, heading, CASE WHEN t IN (FROM known) THEN '"
+        + ",".join("-1" for _ in EMBEDDED_TERMS)
+        + "' ELSE "
+        + " || ',' || ".join(
+            f"CAST((length(t) - length(replace(t, {_quoted(term)}, ''))) // {len(term)} AS STRING)"
+            for term in EMBEDDED_TERMS
+        )
+        + " END AS embedding FROM (SELECT *, heading || chr(10) || content AS t FROM doc_chunks)",
+    ),
     "chunk_count": _with(INDEX, "SELECT count(*) AS chunk_count FROM idx"),
     "chunk_sources": _with(
         INDEX,

@@ -8,6 +8,7 @@ than the others is written by several tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,23 +30,32 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 
 def _facts_path(path: str) -> str:
-    """A small table beside the table: its bucket count and the highest id it ever gave out."""
+    """A small table beside the table: bucket count, highest id it ever gave out, embedder."""
     return f"{path.rstrip('/')}.facts"
 
 
-def _facts(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tuple[int, int]:
+class _Facts(NamedTuple):
+    buckets: int = BUCKETS
+    highest: int = 0
+    # Name of the embedder that made all vectors, if known.
+    embedder: str | None = None
+
+
+_FACTS = "buckets int, highest long, embedder string"
+
+
+def _facts(spark: SparkSession, path: str, buckets: int = BUCKETS) -> _Facts:
     try:
-        row = spark.read.schema("buckets int, highest long").parquet(_facts_path(path)).first()
+        row = spark.read.schema(_FACTS).parquet(_facts_path(path)).first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         row = None
-    return (row["buckets"], row["highest"]) if row else (buckets, 0)
+    return _Facts(*row) if row else _Facts(buckets)
 
 
-def _note(spark: SparkSession, path: str, buckets: int, highest: int) -> None:
-    frame = spark.createDataFrame([(buckets, highest)], "buckets int, highest long")
-    frame.coalesce(1).write.mode("overwrite").option(
+def _note(spark: SparkSession, path: str, facts: _Facts) -> None:
+    spark.createDataFrame([tuple(facts)], _FACTS).coalesce(1).write.mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).parquet(_facts_path(path))
 
@@ -107,54 +117,68 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, CHUNKS).drop(_BUCKET)
 
 
-def write_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def write_chunks(
+    chunks: DataFrame, path: str, buckets: int = BUCKETS, embedder: str | None = None
+) -> None:
     """Full rebuild: the table holds exactly the given chunks afterwards.
 
-    A repeated (source, heading) fails the write and leaves the table as it was.
+    A repeated (source, heading) fails the write and leaves the table as it was.  ``embedder`` names what made
+    the vectors, so that ``replace_in_table`` can use them again.
     """
     spark = chunks.sparkSession
     rows = stage(chunks.select(*CHUNKS.fieldNames()), "chunk-rows")
     _require_unique(rows)
-    highest = max(_facts(spark, path)[1], rows.agg(F.max("id")).first()[0] or 0)
-    _note(spark, path, buckets, highest)
+    highest = max(_facts(spark, path).highest, rows.agg(F.max("id")).first()[0] or 0)
+    _note(spark, path, _Facts(buckets, highest, embedder))
     _write(rows, path, "source", None, buckets)
 
 
-def replace_in_table(documents: DataFrame, path: str, embed: chunk_index.Embedder) -> DataFrame:
+def replace_in_table(
+    documents: DataFrame, path: str, embed: chunk_index.Embedder, embedder: str | None = None
+) -> DataFrame:
     """Index ``(source, text)`` documents, replacing the chunks their sources had.
 
     A document without any text, or a repeated (source, heading), fails the job and leaves the table as
     it was.  Ids go on after the highest one ever given.  Returns the new chunk count per source.
+
+    If ``embedder`` is the name that the table was written with, chunks whose text is unchanged keep their
+    vectors and only the others are embedded.  An empty table takes the name; another name, or
+    none, embeds all and leaves the table without one.
     """
     spark = documents.sparkSession
     stored = _read(spark, path, CHUNKS)
-    buckets, highest = _facts(spark, path)
-    highest = max(highest, stored.agg(F.max("id")).first()[0] or 0)
-    fresh = stage(chunk_index.build_index(documents, embed, highest + 1), "fresh-chunks")
+    facts = _facts(spark, path)
+    highest = max(facts.highest, stored.agg(F.max("id")).first()[0] or 0)
+    touched = _touched(documents, "source", facts.buckets)
+    near = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
+    same = embedder is not None and embedder == facts.embedder
+    known = near.join(documents.select("source").distinct(), "source", "left_semi") if same else None
+    fresh = stage(chunk_index.build_index(documents, embed, highest + 1, known), "fresh-chunks")
     without_text = documents.select("source").distinct().join(fresh, "source", "left_anti")
     if not without_text.isEmpty():
         raise ValueError("Document does not contain extractable text.")
     _require_unique(fresh)
-    touched = _touched(fresh, "source", buckets)
-    kept = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
-    merged = stage(chunk_index.replace_sources(kept, fresh), "merged-chunks")
-    _note(spark, path, buckets, max(highest, fresh.agg(F.max("id")).first()[0] or 0))
-    _write(merged, path, "source", touched, buckets)
+    merged = stage(chunk_index.replace_sources(near, fresh), "merged-chunks")
+    # All vectors are one embedder's only if those that stay are.
+    one = embedder if same or stored.isEmpty() else None
+    _note(spark, path, _Facts(facts.buckets, max(highest, fresh.agg(F.max("id")).first()[0] or 0), one))
+    _write(merged, path, "source", touched, facts.buckets)
     return chunk_index.source_counts(fresh)
 
 
 def delete_from_table(spark: SparkSession, path: str, source: str) -> int:
     """Remove the chunks of one source; returns how many there were."""
     stored = _read(spark, path, CHUNKS)
-    buckets, highest = _facts(spark, path)
+    facts = _facts(spark, path)
     keys = spark.createDataFrame([(source,)], "source string")
-    touched = _touched(keys, "source", buckets)
+    touched = _touched(keys, "source", facts.buckets)
     bucket = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
     removed = bucket.filter(F.col("source") == source).count()
     if removed:
-        _note(spark, path, buckets, max(highest, stored.agg(F.max("id")).first()[0] or 0))
+        highest = max(facts.highest, stored.agg(F.max("id")).first()[0] or 0)
+        _note(spark, path, facts._replace(highest=highest))
         kept = stage(chunk_index.without_sources(bucket, [source]), "kept-chunks")
-        _write(kept, path, "source", touched, buckets)
+        _write(kept, path, "source", touched, facts.buckets)
     return removed
 
 
@@ -162,21 +186,22 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, REPORTS).drop(_BUCKET)
 
 
-def save_reports(rows: DataFrame, path: str) -> DataFrame:
+def save_reports(rows: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Merge report rows into the table; returns ``(id, signature)`` of the saved reports.
 
     Only the buckets of the rows' signatures are read and written, and of the others the ids alone.
+    A new table has ``buckets`` buckets.
     """
     spark = rows.sparkSession
     rows = stage(rows, "report-rows")
-    buckets, highest = _facts(spark, path)
+    facts = _facts(spark, path, buckets)
     stored = _read(spark, path, REPORTS)
-    highest = max(highest, stored.agg(F.max("id")).first()[0] or 0)
-    touched = _touched(rows, "signature", buckets)
+    highest = max(facts.highest, stored.agg(F.max("id")).first()[0] or 0)
+    touched = _touched(rows, "signature", facts.buckets)
     near = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
     merged = stage(report_ops.upsert_reports(near, rows, highest), "reports")
-    _note(spark, path, buckets, max(highest, merged.agg(F.max("id")).first()[0] or 0))
-    _write(merged, path, "signature", touched, buckets)
+    _note(spark, path, facts._replace(highest=max(highest, merged.agg(F.max("id")).first()[0] or 0)))
+    _write(merged, path, "signature", touched, facts.buckets)
     saved = rows.select("signature").distinct()
     return merged.where("part = 1").join(saved, "signature", "left_semi").select("id", "signature")
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlog import fixed_values as fixed
-from cinderlog.functions.text import decode_utf8
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 
@@ -32,6 +31,11 @@ def read_log_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
         ),
         "lines",
     )
+    return _numbered(blocks).select("incident_id", "source_name", "line_number", "raw_line")
+
+
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Staged lines with ``line_number``, from their ``_block`` and their ``_slot`` in it."""
     counts = blocks.groupBy("incident_id", "_block").agg(
         F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
@@ -50,33 +54,65 @@ def read_log_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
         ),
         "block-offsets",
     )
-    return blocks.join(broadcast_if_small(offsets), ["incident_id", "_block"]).select(
-        "incident_id",
-        "source_name",
-        (F.col("_slot") - F.col("_base")).alias("line_number"),
-        "raw_line",
+    return blocks.join(broadcast_if_small(offsets), ["incident_id", "_block"]).withColumn(
+        "line_number", F.col("_slot") - F.col("_base")
     )
 
 
 def read_uploaded_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of whole uploaded files, split at every line boundary of a decoded text.
+    """Lines of uploaded files, split at every line boundary of a decoded text.
 
-    For uploads, which are of bounded size; large log files go through ``read_log_files``.
+    Unlike ``read_log_files`` this knows all line boundaries of text and gives the empty line behind a
+    last boundary, also the one line of an empty file.  Files are read in blocks: what lies between two
+    line feeds is a row, which is then cut at the other boundaries; a file may have any size.
     """
-    files = spark.read.format("binaryFile").load(
-        paths if isinstance(paths, str) else list(paths)
+    given = paths if isinstance(paths, str) else list(paths)
+    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    value = F.col("value")
+    # A row's carriage return belongs to its line feed.
+    body = F.regexp_replace(value, r"\r\z", "")
+    pieces = F.split(F.make_valid_utf8(body), fixed.LINE_BOUNDARY, -1)
+    blocks = stage(
+        spark.read.option("lineSep", "\n").text(given).select(
+            path.alias("incident_id"),
+            name.alias("source_name"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.octet_length("value").alias("_bytes"),
+            F.endswith(value, F.lit("\r")).alias("_return"),
+            F.posexplode(pieces).alias("_place", "raw_line"),
+        ).select(
+            "incident_id",
+            "source_name",
+            "_block",
+            # A row counts with its line feed, and once.
+            F.when(F.col("_place") == 0, F.col("_bytes") + 1).otherwise(0).alias("_bytes"),
+            "_return",
+            "raw_line",
+            F.monotonically_increasing_id().alias("_slot"),
+        ),
+        "lines",
+    )
+    last = F.max_by("_return", F.struct("_block", "_slot"))
+    read = blocks.groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("_lines"), F.sum("_bytes").alias("_read"), last.alias("_return")
+    )
+    # The listing alone: no content is read.
+    files = spark.read.format("binaryFile").load(given).select(
+        path.alias("incident_id"), name.alias("source_name"), F.col("length").alias("_length")
+    )
+    # More bytes than the file has: the last row had no line feed.  A byte-order mark (3 bytes) is not read.
+    open_end = (F.col("_read") - F.col("_length")).isin(1, -2)
+    ended = files.join(read, "incident_id", "left").where(
+        F.col("_lines").isNull() | ~open_end | F.col("_return")
     )
-    lines = F.split(decode_utf8(F.col("content")), fixed.LINE_BOUNDARY, -1)
-    return files.select(
-        F.col("path").alias("incident_id"),
-        F.element_at(F.split("path", "/"), -1).alias("source_name"),
-        F.posexplode(lines).alias("_pos", "raw_line"),
-    ).select(
+    behind = ended.select(
         "incident_id",
         "source_name",
-        (F.col("_pos") + 1).cast("long").alias("line_number"),
-        "raw_line",
+        (F.coalesce("_lines", F.lit(0)) + 1).alias("line_number"),
+        F.lit("").alias("raw_line"),
     )
+    lines = _numbered(blocks).select("incident_id", "source_name", "line_number", "raw_line")
+    return lines.unionByName(behind)
 
 
 def demo_scenarios(spark: SparkSession) -> DataFrame:

@@ -1,3 +1,10 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cinderlog import fixed_values as fixed
+from cinderlog.functions.text import decode_utf8
 from cinderlog.plans.analysis import overview
 from cinderlog.sources import logs, staging
 
@@ -44,6 +51,41 @@ def test_numbers_stay_when_later_jobs_split_otherwise(spark, tmp_path):
     assert rows == {number: text for number, text in enumerate(lines, start=1)}
 
 
+@pytest.mark.parametrize("block", ["7b", "128m"])
+def test_uploads_split_at_every_boundary(spark, tmp_path, monkeypatch, block):
+    """Blocks of 7 bytes cut characters and pairs of carriage return and line feed."""
+
+    def stage_and_reset(frame, name):
+        # Small blocks are for the files alone, not for the staged tables.
+        staged = staging.stage(frame, name)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        return staged
+
+    monkeypatch.setattr(logs, "stage", stage_and_reset)
+    draw = random.Random(12)
+    parts = [b"\n", b"\r\n", b"\r", "\u2028".encode(), "\x85".encode(), b"\x0b", b"\x1d", b"a", "é日\U0001f600".encode(), b"\xe2\x82", b"\xff", b"word", b"\n\n", b" "]
+    bodies = {"empty": b"", "mark": b"\xef\xbb\xbf", "marks": b"\xef\xbb\xbf\xef\xbb\xbfa\r\n", "feed": b"\n", "return": b"\r", "both": b"\r\n"}
+    for k in range(12):
+        bodies[f"r{k}"] = b"\xef\xbb\xbf" * (k % 3 == 0) + b"".join(draw.choices(parts, k=draw.randint(1, 30)))
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    settings = {"spark.sql.files.maxPartitionBytes": block, "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = logs.read_uploaded_logs(spark, str(tmp_path)).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    whole = spark.read.format("binaryFile").load(str(tmp_path)).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.split(decode_utf8(F.col("content")), fixed.LINE_BOUNDARY, -1).alias("lines"),
+    )
+    for name, lines in whole.collect():
+        found = sorted((r.line_number, r.raw_line) for r in rows if r.source_name == name)
+        assert found == list(enumerate(lines, start=1)), name
+
+
 def test_measured_bytes_follow_what_is_held(spark):
     rows = spark.createDataFrame(
         [("x" * 1000, [1.0] * 500, {"k": "v" * 700}, [{"a": b"z" * 300}])],

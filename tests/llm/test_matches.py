@@ -229,27 +229,6 @@ def base_by_hand(text):
     return sorted(spans)
 
 
-def entropy_by_hand(text, taken):
-    """Spans of windows with high entropy, counting each window anew."""
-    spans = []
-    for characters, limit in (("0-9A-Fa-f", 3.0), ("A-Za-z0-9+/_=-", 3.7)):
-        more = []
-        for m in re.finditer(f"[{characters}]{{20,}}", text or ""):
-            run = m.group()
-            if not re.search("[0-9]", run) or any(re.search(rule.replace(r"\z", r"\Z"), run) for rule in secrets.ALLOWED):
-                continue
-            high = []
-            for k in range(len(run) - 19):
-                counts = Counter(run[k : k + 20]).values()
-                if -sum(c / 20 * np.log2(c / 20) for c in counts) >= limit - 1e-12:
-                    high.append(k)
-            span = (m.start() + high[0], 3, m.start() + high[-1] + 20) if high else None
-            if span and not any(s < span[2] and span[0] < e for s, _, e in taken + spans):
-                more.append(span)
-        spans += more
-    return spans
-
-
 def secret_texts():
     rng = random.Random(10)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
@@ -269,7 +248,7 @@ def test_secrets_by_hand(frame):
     some = 0
     for k, text in enumerate(texts):
         base = base_by_hand(text)
-        more = entropy_by_hand(text, base)
+        more = entropy_by_pieces(text, base)
         some += len(more)
         assert [tuple(s) for s in rows[k].secrets.base] == base, text
         assert [tuple(s) for s in rows[k].secrets["all"]] == sorted(base + more), text
@@ -283,7 +262,7 @@ def test_masked_texts(frame):
     for row in masked.collect():
         text = texts[row.id]
         spans = base_by_hand(text)
-        spans = sorted(spans + entropy_by_hand(text, spans))
+        spans = sorted(spans + entropy_by_pieces(text, spans))
         expected, at = "", 0
         for start, _, end in spans:
             if start >= at:
@@ -318,7 +297,7 @@ def test_secrets_beside_known_forms(frame):
 
 
 def entropy_by_pieces(text, taken):
-    """As ``entropy_by_hand``, in the pieces of runs that the spans so far leave free."""
+    """Spans of windows with high entropy, in the pieces of runs that the spans so far leave free."""
     spans = []
     for characters, limit in (("0-9A-Fa-f", 3.0), ("A-Za-z0-9+/_=-", 3.7)):
         free = list(text or "")

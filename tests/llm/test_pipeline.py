@@ -3,7 +3,7 @@
 from zlib import crc32
 
 import pytest
-from test_matches import WORDS, base_by_hand, components_of, entropy_by_hand, hit_words, lowered, print_of
+from test_matches import WORDS, base_by_hand, components_of, entropy_by_pieces, hit_words, lowered, print_of
 
 import corpus_pipeline
 from cinderlog.llm import mixing, quality
@@ -73,7 +73,7 @@ def test_secrets_are_masked(passed):
     assert len(before) == len(after)
     for row in before:
         spans = base_by_hand(row.text)
-        spans = spans + entropy_by_hand(row.text, spans)
+        spans = spans + entropy_by_pieces(row.text, spans)
         assert (texts[row.doc_id] == row.text) == (not spans)
         assert all(row.text[a:b] not in texts[row.doc_id] for a, _, b in spans)
 

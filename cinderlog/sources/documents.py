@@ -12,13 +12,13 @@ from cinderlog.functions.text import decode_utf8, file_suffix, source_name, stri
 from cinderlog.sources.logs import read_log_files
 
 
-def read_runbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """``(source, text)`` of the Markdown files in a folder; the source is the file name.
+def read_runbooks(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """``(source, text)`` of the files in a folder with names like ``pattern``; the source is the file name.
 
     A file is one row; ``read_runbook_lines`` reads files of any size.
     """
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     )
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("source"),

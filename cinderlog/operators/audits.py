@@ -21,6 +21,7 @@ from cinderlog.functions.text import (
 from cinderlog.operators.events import serious
 from cinderlog.operators.metrics import first_serious
 from cinderlog.operators.ordering import UNMATCHED
+from cinderlog.sources.event_facts import EventFacts
 from cinderlog.sources.staging import broadcast_if_small, stage
 
 
@@ -29,17 +30,17 @@ def normalize_answers(answers: DataFrame) -> DataFrame:
 
 
 def attach_source_context(
-    answers: DataFrame, events: DataFrame, evidence: DataFrame
+    answers: DataFrame, events: DataFrame, evidence: DataFrame, facts: EventFacts | None = None
 ) -> DataFrame:
     """Append a source line for each label type that the answer leaves out.
 
     ``evidence`` holds the matched chunks with ``answer_id`` and ``rank``; the best one and the
-    incident's first serious event are named.
+    incident's first serious event are named.  With ``facts`` of the events these are not read.
     """
     top = evidence.filter(F.col("rank") == 1).select(
         "answer_id", F.format_string(fixed.RUNBOOK_CONTEXT, "source", "heading").alias("_runbook")
     )
-    first = first_serious(events).select(
+    first = (first_serious(events) if facts is None else facts.first).select(
         "incident_id", F.format_string(fixed.LOG_CONTEXT, "line_number", "service").alias("_log")
     )
     cites_runbook = F.rlike("answer", F.lit(r"(?U)\[R\d+\]"))
@@ -70,11 +71,13 @@ def _label_number(label: Column, kind: str) -> Column:
     return F.when(label == F.concat(F.lit(f"[{kind}"), number.cast("string"), F.lit("]")), number)
 
 
-def audit_citations(answers: DataFrame, events: DataFrame) -> DataFrame:
+def audit_citations(
+    answers: DataFrame, events: DataFrame, facts: EventFacts | None = None
+) -> DataFrame:
     """``cited``, ``invalid`` and ``missing`` label arrays, and ``citations_passed``.
 
     Cited lines meet the events by an equi-join on (incident, line number); the allowed labels
-    of an incident are never gathered.
+    of an incident are never gathered.  With ``facts`` of the events these are not read.
     """
     labels = stage(
         answers.select(
@@ -91,18 +94,9 @@ def audit_citations(answers: DataFrame, events: DataFrame) -> DataFrame:
         ),
         "labels",
     )
-    wanted = stage(
-        labels.filter(F.col("_line").isNotNull())
-        .select("incident_id", F.col("_line").alias("line_number"))
-        .distinct(),
-        "cited-lines",
-    )
-    found = (
-        serious(events)
-        .select("incident_id", "line_number")
-        .join(broadcast_if_small(wanted), ["incident_id", "line_number"], "left_semi")
-        .distinct()
-        .select("incident_id", F.col("line_number").alias("_line"), F.lit(True).alias("_found"))
+    lines = _cited_lines(labels, events) if facts is None else facts.lines
+    found = lines.select(
+        "incident_id", F.col("line_number").alias("_line"), F.lit(True).alias("_found")
     )
     # Labels without a line get negative numbers, which match nothing and spread over all tasks.
     spread = -F.shiftrightunsigned(F.xxhash64("answer_id", "_pos"), 1) - 1
@@ -146,6 +140,22 @@ def audit_citations(answers: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _cited_lines(labels: DataFrame, events: DataFrame) -> DataFrame:
+    """The serious lines among those that labels name, found without a shuffle of the events."""
+    wanted = stage(
+        labels.filter(F.col("_line").isNotNull())
+        .select("incident_id", F.col("_line").alias("line_number"))
+        .distinct(),
+        "cited-lines",
+    )
+    return (
+        serious(events)
+        .select("incident_id", "line_number")
+        .join(broadcast_if_small(wanted), ["incident_id", "line_number"], "left_semi")
+        .distinct()
+    )
+
+
 def citation_notes(audited: DataFrame) -> DataFrame:
     """Add ``note``, the sentence that reports a citation audit."""
 
@@ -201,10 +211,13 @@ def claim_texts(answers: DataFrame) -> DataFrame:
     return pinned(staged, {"answer": claims}).select(*answers.columns)
 
 
-def audit_claims(answers: DataFrame, events: DataFrame) -> DataFrame:
+def audit_claims(
+    answers: DataFrame, events: DataFrame, facts: EventFacts | None = None
+) -> DataFrame:
     """``unsupported`` HTTP statuses, in order, and ``claims_passed``.
 
-    A definition question has no log evidence, so there any status is unsupported.
+    A definition question has no log evidence, so there any status is unsupported.  With ``facts`` of the
+    events these are not read.
     """
     flat = claim_texts(
         answers.select("answer_id", "incident_id", "include_logs", "answer")
@@ -221,7 +234,8 @@ def audit_claims(answers: DataFrame, events: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit(UNMATCHED), F.col("answer_id").cast("string")))
         .alias("incident_id"),
     )
-    supported = incident_statuses(events).withColumn("_supported", F.lit(True))
+    statuses = incident_statuses(events) if facts is None else facts.statuses
+    supported = statuses.withColumn("_supported", F.lit(True))
     return (
         claimed.join(supported, ["incident_id", "status"], "left")
         .groupBy("answer_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from cinderlog import fixed_values as fixed
 from cinderlog.operators import audits, domains, events, index, metrics, prompts, reports
 from cinderlog.operators import retrieval
+from cinderlog.sources.event_facts import EventFacts, write_event_facts
 from cinderlog.sources.staging import stage
 
 
@@ -94,21 +95,23 @@ def prepare_answers(
 
 
 def review_answers(
-    answers: DataFrame, incident_events: DataFrame, evidence: DataFrame
+    answers: DataFrame, incident_events: DataFrame, evidence: DataFrame, facts: EventFacts | None = None
 ) -> DataFrame:
     """Normalise citations, attach missing source context, then audit citations and claims.
 
     ``answers`` has ``answer_id, incident_id, answer, include_logs, chunk_count``; ``evidence``
-    has ``answer_id, rank, source, heading``.
+    has ``answer_id, rank, source, heading``.  The events are read once, for their ``facts``, or not at
+    all if these are given.
     """
+    facts = facts or write_event_facts(incident_events)
     completed = stage(
         audits.attach_source_context(
-            audits.normalize_answers(answers), incident_events, evidence
+            audits.normalize_answers(answers), incident_events, evidence, facts
         ),
         "answers",
     )
-    cited = audits.citation_notes(audits.audit_citations(completed, incident_events))
-    claims = audits.audit_claims(completed, incident_events)
+    cited = audits.citation_notes(audits.audit_citations(completed, incident_events, facts))
+    claims = audits.audit_claims(completed, incident_events, facts)
     return completed.join(cited, "answer_id").join(claims, "answer_id")
 
 

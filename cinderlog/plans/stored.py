@@ -15,11 +15,14 @@ from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import source_name
 from cinderlog.functions.vectors import cosine, from_json_text, to_json_text
 from cinderlog.operators import embedding, evaluation, events, metrics, prompts, reports, retrieval
-from cinderlog.plans.driver_tables import DriverTables
+from cinderlog.plans import analysis
+from cinderlog.plans.driver_tables import DriverTables, answers_sql
 from cinderlog.plans.oracle import (
     _DOCUMENTS,
     _MASKED,
+    _NORMALIZED,
     _PACKED,
+    ANSWERS,
     EVIDENCE,
     INDEX,
     LINES,
@@ -216,6 +219,24 @@ def qa_prompts(t: DriverTables) -> DataFrame:
     return _bigints(built, "part", "parts")
 
 
+@query
+def review_answers(t: DriverTables) -> DataFrame:
+    """All answers completed and audited, the events read once."""
+    answers = t.answers()
+    asked = answers.select("answer_id", F.floor(F.col("answer_id") / 100).alias("query_id"))
+    vectors = t.query_vectors().join(asked.select("query_id"), "query_id", "left_semi")
+    matched = retrieval.with_chunks(retrieval.search(vectors, t.vectors(), 1), t.vectors())
+    reviewed = analysis.review_answers(answers, t.events(), matched.join(asked, "query_id"))
+    return reviewed.select(
+        "answer_id",
+        "answer",
+        *(F.array_join(name, ",").alias(name) for name in ("cited", "invalid", "missing", "unsupported")),
+        "citations_passed",
+        "claims_passed",
+        "note",
+    )
+
+
 # --- expected results ------------------------------------------------------------------------
 
 _FILE_LINES = """file_lines AS (
@@ -231,7 +252,26 @@ _CASES = ", ".join(
     for name, asked, source, answerable in (*fixed.EVALUATION_CASES, fixed.OPTIONAL_EVALUATION_CASE)
 )
 
+_ATTACHED = ORACLES["attach_context"].replace(
+    ANSWERS, f"answers AS (SELECT * REPLACE ({_NORMALIZED} AS answer) FROM ({answers_sql()}))"
+)
+_COMPLETED = f"""completed AS (
+  SELECT a.* REPLACE (c.answer AS answer) FROM ({answers_sql()}) a JOIN ({_ATTACHED}) c USING (answer_id)
+)"""
+
+
+def _of_completed(name: str) -> str:
+    return ORACLES[name].replace(ANSWERS, "answers AS (SELECT * FROM completed)")
+
+
 STORED_ORACLES: dict[str, str] = {
+    "review_answers": _with(
+        _COMPLETED,
+        f"""SELECT c.answer_id, c.answer, a.cited, a.invalid, a.missing, b.unsupported, a.citations_passed,
+              b.claims_passed, a.note
+            FROM completed c JOIN ({_of_completed("citation_audit")}) a USING (answer_id)
+            JOIN ({_of_completed("claim_audit")}) b USING (answer_id)""",
+    ),
     "read_log_files": _with(LINES, _FILE_LINES, "SELECT * FROM file_lines"),
     "read_uploaded_logs": _with(
         LINES,

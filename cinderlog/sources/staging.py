@@ -11,11 +11,14 @@ import uuid
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+# Attribute of a staged frame that holds the bytes of its rows.
+_MEASURED = "_cinderlog_bytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -34,11 +37,22 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Write the rows to a new staged table and return it."""
+    """Write the rows to a new staged table and return it.
+
+    The bytes of flat rows are added up while they are written, so that ``broadcast_if_small`` needs no
+    job of its own for the table.
+    """
     spark = frame.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    flat = not any(isinstance(field.dataType, _NESTED) for field in frame.schema)
+    if not flat or frame.isStreaming:
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    seen = Observation()
+    frame.observe(seen, F.sum(_row_bytes(frame)).alias("bytes")).write.parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    setattr(table, _MEASURED, seen.get["bytes"] or 0)
+    return table
 
 
 def broadcast_if_small(frame: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -48,11 +62,16 @@ def broadcast_if_small(frame: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Da
     and other values with 16 bytes.  A larger frame is left to the planner, which then joins by
     shuffle.  The frame should be a staged or stored table, so that measuring it is cheap.
     """
-    sizes = [_bytes(F.col(f"`{field.name}`"), field.dataType) for field in frame.schema]
-    total = frame.agg(F.sum(reduce(add, sizes))).first()[0] or 0
+    total = getattr(frame, _MEASURED, None)
+    if total is None:
+        total = frame.agg(F.sum(_row_bytes(frame))).first()[0] or 0
     return F.broadcast(frame) if total <= max_bytes else frame
 
 
+def _row_bytes(frame: DataFrame) -> Column:
+    return reduce(add, [_bytes(F.col(f"`{field.name}`"), field.dataType) for field in frame.schema])
+
+
 def _bytes(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(value).cast("long"), F.lit(0)) + F.lit(16)

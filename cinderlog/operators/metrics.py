@@ -43,7 +43,12 @@ def incident_metrics(events: DataFrame, incidents: DataFrame | None = None) -> D
 
     With ``incidents`` given, incidents without any event are kept with zero counts.
     """
-    totals = service_totals(events).groupBy("incident_id").agg(
+    return metrics_of_totals(service_totals(events), incidents)
+
+
+def metrics_of_totals(totals: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
+    """``incident_metrics`` from the ``service_totals`` of the events."""
+    totals = totals.groupBy("incident_id").agg(
         F.sum("events").alias("events"),
         F.sum("errors").alias("errors"),
         F.sum("critical").alias("critical"),
@@ -67,7 +72,12 @@ def impact_label(score: Column) -> Column:
 
 def impact_scores(events: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
     """Explainable 0-100 score: severity points plus spread over services."""
-    totals = service_totals(events).groupBy("incident_id").agg(
+    return scores_of_totals(service_totals(events), incidents)
+
+
+def scores_of_totals(totals: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
+    """``impact_scores`` from the ``service_totals`` of the events."""
+    totals = totals.groupBy("incident_id").agg(
         F.sum("serious").alias("serious"),
         F.count_if(F.col("serious") > 0).alias("affected_services"),
         F.sum("severity_points").alias("severity_points"),
@@ -94,6 +104,16 @@ def impact_scores(events: DataFrame, incidents: DataFrame | None = None) -> Data
     )
 
 
+def merged_totals(totals: DataFrame) -> DataFrame:
+    """``service_totals`` of all events from those of parts of them."""
+    sums = ("events", "errors", "critical", "serious", "severity_points")
+    return totals.groupBy("incident_id", "service").agg(
+        *(F.sum(name).alias(name) for name in sums),
+        F.min("started_at").alias("started_at"),
+        F.max("ended_at").alias("ended_at"),
+    )
+
+
 def level_counts(events: DataFrame) -> DataFrame:
     """Events per level; ``severity`` is the level's position in severity order."""
     return (

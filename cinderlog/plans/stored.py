@@ -35,7 +35,7 @@ from cinderlog.plans.oracle import (
     _with,
 )
 from cinderlog.plans.queries import QUERY_PART_BYTES, REPLACED_SOURCE, _bigints, _report_tables, query
-from cinderlog.sources import documents, logs, tables
+from cinderlog.sources import documents, growing_logs, logs, markdown_files, tables
 from cinderlog.sources.staging import stage, staging_root
 
 
@@ -70,6 +70,16 @@ def read_uploaded_logs(t: DriverTables) -> DataFrame:
     return _named(logs.read_uploaded_logs(t.spark, f"{_log_files(t)}/*"))
 
 
+@query
+def growing_metrics(t: DriverTables) -> DataFrame:
+    """Metrics after two runs, the second of which finds more files; files without events have zeros."""
+    files, state = _log_files(t), _folder(t, "log-state")
+    growing_logs.update(t.spark, f"{files}/incident_id=incident-hot", state)
+    growing_logs.update(t.spark, f"{files}/*", state)
+    name = F.regexp_extract("incident_id", "incident_id=([^/]+)/", 1)
+    return growing_logs.read_state(t.spark, state).metrics().withColumn("incident_id", name)
+
+
 @query
 def demo_scenarios(t: DriverTables) -> DataFrame:
     """Lines of incidents whose file is named like one of the demo files."""
@@ -174,9 +184,10 @@ def stored_reports(t: DriverTables) -> DataFrame:
 def exported_reports(t: DriverTables) -> DataFrame:
     """Reports written as Markdown files and read back."""
     path = _folder(t, "markdown")
-    tables.export_markdown(tables.read_reports(t.spark, _saved_reports(t)), path)
-    read = t.spark.read.text(path)
-    return read.select(F.col("report_id").cast("long").alias("id"), F.col("value").alias("analysis_markdown"))
+    markdown_files.export_markdown(tables.read_reports(t.spark, _saved_reports(t)), path)
+    read = t.spark.read.option("pathGlobFilter", "*.md").text(path)
+    name = F.regexp_extract("_metadata.file_name", r"\A([0-9]+)\.md\z", 1)
+    return read.select(name.cast("long").alias("id"), F.col("value").alias("analysis_markdown"))
 
 
 @query
@@ -287,6 +298,8 @@ STORED_ORACLES: dict[str, str] = {
     "all_incident_metrics": ORACLES["incident_metrics"]
     + " UNION ALL SELECT DISTINCT 'silent-' || user_id, 0, 0, 0, 0, 0 FROM events"
     + " UNION ALL SELECT DISTINCT incident_id, 0, 0, 0, 0, 0 FROM lines WHERE incident_id NOT IN (SELECT incident_id FROM ev)",
+    "growing_metrics": ORACLES["incident_metrics"]
+    + " UNION ALL SELECT DISTINCT incident_id, 0, 0, 0, 0, 0 FROM lines WHERE incident_id NOT IN (SELECT incident_id FROM ev)",
     "read_uploads": _with(
         _PAGE_TEXTS,
         "SELECT '.txt' AS suffix, CASE WHEN text <> '' THEN md5(text) END AS text_md5, "

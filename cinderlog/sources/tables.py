@@ -1,4 +1,4 @@
-"""The chunk and report tables at rest, and Markdown export.
+"""The chunk and report tables at rest.
 
 Both are Parquet, split into hash buckets of their key, so that a change rewrites only the
 buckets it touches.  Writes go through a ``rebalance`` hint: a bucket that holds far more rows
@@ -204,25 +204,3 @@ def save_reports(rows: DataFrame, path: str, buckets: int = BUCKETS) -> DataFram
     _write(merged, path, "signature", touched, facts.buckets)
     saved = rows.select("signature").distinct()
     return merged.where("part = 1").join(saved, "signature", "left_semi").select("id", "signature")
-
-
-def export_markdown(reports: DataFrame, path: str, key: str = "id") -> None:
-    """Write each report as Markdown, in a folder named by the report's key.
-
-    A report is one file, and a line feed follows its text.  Parts of one report stay together, in
-    order, one after the other; the line feed then follows each part.
-    """
-    part = F.col("part") if "part" in reports.columns else F.lit(1)
-    (
-        reports.select(
-            F.col(key).alias("report_id"),
-            F.col("analysis_markdown").alias("value"),
-            part.alias("_part"),
-        )
-        .repartition("report_id")
-        .sortWithinPartitions("report_id", "_part")
-        .drop("_part")
-        .write.mode("overwrite")
-        .partitionBy("report_id")
-        .text(path)
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cinderlog import fixed_values as fixed
 from cinderlog.operators import audits, evidence, prompts, reports
 from cinderlog.plans import analysis
-from cinderlog.sources import tables
+from cinderlog.sources import markdown_files, tables
 
 START = "2026-08-06 14:03:1"
 ANSWER = (
@@ -284,6 +284,6 @@ def test_report_table(spark, events_of, frame, tmp_path):
     assert "signature" not in recent[0].asDict()
 
     folder = str(tmp_path / "markdown")
-    tables.export_markdown(stored, folder)
-    files = spark.read.text(folder, wholetext=True).orderBy("report_id").collect()
-    assert [(r.report_id, r.value) for r in files] == [(1, "one\n"), (2, "two\n"), (3, "three\n")]
+    markdown_files.export_markdown(stored, folder)
+    files = spark.read.text(folder, wholetext=True).select("_metadata.file_name", "value").collect()
+    assert sorted(map(tuple, files)) == [("1.md", "one\n"), ("2.md", "two\n"), ("3.md", "three\n")]

@@ -17,8 +17,11 @@ from cinderlog.sources.staging import broadcast_if_small, stage
 UNKNOWN = "und"
 # Hashed counts of two- and three-byte runs.
 FEATURES = 4096
-# Documents per language that the classifiers learn from at most.
+# Documents that the classifiers learn from at most: of one language, and of all together.
 SAMPLE = 600
+SAMPLE_ALL = 6000
+# Every so many of them are held out, to see how far each bit can be trusted.
+_HELD_OUT = 5
 # Classifiers per language beyond the exhaustive code of up to five languages.
 BITS_PER_LANGUAGE = 4
 # Losses closer than this make a prediction ambiguous.
@@ -86,48 +89,53 @@ class LanguageModel:
         return (np.logaddexp(0, -agreement) * self.trust).sum(axis=2)
 
 
-def fit(texts: list[bytes], languages: list[str], rounds_: int = 300) -> LanguageModel:
-    """Train the bits' logistic classifiers together by full-batch Adam."""
+def fit(x: np.ndarray, languages: list[str], rounds_: int = 300) -> LanguageModel:
+    """Train the bits' logistic classifiers together by full-batch Adam on ``ngram_features``.
+
+    Every fifth row is left out of the training; a bit weighs by its share of right answers there.
+    """
     names = sorted(set(languages))
     codes = code_matrix(len(names))
     at = {name: k for k, name in enumerate(names)}
     truth = (codes[[at[name] for name in languages]] > 0).astype(np.float32)
-    x = ngram_features(texts)
+    held = np.arange(len(x)) % _HELD_OUT == _HELD_OUT - 1
+    held_x, held_truth = (x[held], truth[held]) if held.any() else (x, truth)
+    x, truth = x[~held], truth[~held]
     weights = np.zeros((FEATURES, codes.shape[1]), dtype=np.float32)
     bias = np.zeros(codes.shape[1], dtype=np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, bias)]
     for step in range(1, rounds_ + 1):
-        wrong = (1 / (1 + np.exp(-(x @ weights + bias))) - truth) / len(texts)
+        wrong = (1 / (1 + np.exp(-(x @ weights + bias))) - truth) / len(x)
         grads = (x.T @ wrong + 1e-5 * weights, wrong.sum(axis=0))
         for p, (m, v), g in zip((weights, bias), moments, grads):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    right = ((x @ weights + bias > 0) == (truth > 0)).mean(axis=0)
-    # The usual weight of a classifier in a vote, from its share of right answers.
-    trust = np.clip(0.5 * np.log((right + 1e-3) / (1 - right + 1e-3)), 0.05, None)
+    # The usual weight of a classifier in a vote, from its right answers, with one more of either kind.
+    right = ((held_x @ weights + bias > 0) == (held_truth > 0)).sum(axis=0)
+    trust = np.clip(0.5 * np.log((right + 1) / (len(held_x) - right + 1)), 0.05, None)
     return LanguageModel(names, codes.astype(np.float32), weights, bias, (trust / trust.mean()).astype(np.float32))
 
 
-def learn(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
+def learn(documents: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> LanguageModel | None:
     """A model from at most ``sample`` documents of each language, chosen by a hash of the text.
 
     Rows without a text or language teach nothing; without any row there is no model.  A text
-    that repeats counts once.  Languages are a list that fits the driver; texts are
-    sampled, and of a long one 64 KiB, from its middle, are learnt from.
+    that repeats counts once.  Whole texts are learnt from; what comes to the driver is 16 KB of n-gram
+    frequencies for each of at most ``sample_all`` of them.  Languages are a list that fits the driver.
     """
-    cut = 1 << 16
-    body = F.col("text").cast("binary")
-    middle = F.substring(body, F.greatest(F.lit(1), (F.octet_length("text") - cut) / 2).cast("int"), F.lit(cut))
     known = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(
         F.col("text").rlike(r"\p{L}")
     )
-    keyed = known.select("lang", F.xxhash64("text").alias("_key"), middle.alias("_text"))
+    keyed = known.select("lang", F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("_text"))
     # Roughly three times the sample by the hash alone, so that no task ranks a whole language.
-    counts = keyed.groupBy("lang").agg(F.approx_count_distinct("_key").alias("_texts"))
+    counts = stage(
+        keyed.groupBy("lang").agg(F.approx_count_distinct("_key").alias("_texts")), "language-counts"
+    )
+    sample = max(1, min(sample, sample_all // max(1, counts.count())))
     chance = F.shiftrightunsigned("_key", 11).cast("double") * F.lit(2.0**-53)
     few = (
-        keyed.join(broadcast_if_small(stage(counts, "language-counts")), "lang")
+        keyed.join(broadcast_if_small(counts), "lang")
         .where(chance * F.col("_texts") < F.lit(3.0 * sample + 30))
         .groupBy("lang", "_key")
         .agg(F.min("_text").alias("_text"))
@@ -136,13 +144,24 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     rows = (
         few.withColumn("_place", F.row_number().over(first))
         .where(F.col("_place") <= sample)
-        .sort("lang", "_key")
-        .select("lang", "_text")
+        .select("lang", "_key", _featured(F.col("_text")).alias("_x"))
+        .sort("_key", "lang")
         .collect()
     )
     if not rows:
         return None
-    return fit([bytes(row["_text"]) for row in rows], [row["lang"] for row in rows])
+    x = np.concatenate([np.frombuffer(row["_x"], dtype=np.float32) for row in rows])
+    return fit(x.reshape(-1, FEATURES), [row["lang"] for row in rows])
+
+
+def _featured(text: Column) -> Column:
+    def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [row.tobytes() for texts in rounds(batch) for row in ngram_features(texts)]
+            yield pa.array(rows, type=pa.binary())
+
+    featured.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(featured, "binary")(text)
 
 
 def _decoded(model: LanguageModel, text: Column, margin: float) -> Column:

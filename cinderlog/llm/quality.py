@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from cinderlog.llm.batches import arrow_udf, rounds
 
 THRESHOLD = 0.7
-# Documents that the classifier learns from at most, and passages of each.
+# Labelled documents that the classifier learns from at most, with all their passages.
 SAMPLE = 3000
-SAMPLE_PASSAGES = 48
 PASSAGE_BYTES = 512
 HIDDEN, ATTENTION = 24, 16
 
@@ -97,6 +96,26 @@ class QualityModel:
         return state["score"].tolist(), np.maximum.reduceat(state["weight"], starts).tolist()
 
 
+def gradients(
+    model: QualityModel, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, weights: np.ndarray
+) -> dict[str, np.ndarray]:
+    """Gradient of the weighted log loss of the documents by each part of the model."""
+    s, parts = model.forward(x, starts), model.parts
+    wide = lambda value: np.repeat(value, s["counts"], axis=0)
+    wrong = (s["score"] - labels) * weights
+    bag = wrong[:, None] * parts["c"]
+    h = s["weight"][:, None] * wide(bag)
+    pull = (s["h"] * wide(bag)).sum(axis=1) - wide((s["bag"] * bag).sum(axis=1))
+    e = s["weight"] * pull
+    gate = e[:, None] * parts["a"]
+    t, g = gate * s["g"] * (1 - s["t"] ** 2), gate * s["t"] * s["g"] * (1 - s["g"])
+    h = (h + t @ parts["v"].T + g @ parts["u"].T) * (s["h"] > 0)
+    return {
+        "c": s["bag"].T @ wrong, "d": wrong.sum(), "a": (s["t"] * s["g"]).T @ e,
+        "v": s["h"].T @ t, "u": s["h"].T @ g, "w": s["z"].T @ h, "b": h.sum(axis=0),
+    }
+
+
 def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, steps: int = 400, seed: int = 3) -> QualityModel:
     """Train by full-batch Adam on document labels; classes weigh the same."""
     random = np.random.default_rng(seed)
@@ -113,20 +132,7 @@ def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, steps: int = 400,
     good = max(1.0, labels.sum())
     weights = np.where(labels > 0, 0.5 / good, 0.5 / max(1.0, len(labels) - good))
     for step in range(1, steps + 1):
-        s = model.forward(x, starts)
-        wide = lambda value: np.repeat(value, s["counts"], axis=0)
-        wrong = (s["score"] - labels) * weights
-        bag = wrong[:, None] * parts["c"]
-        h = s["weight"][:, None] * wide(bag)
-        pull = (s["h"] * wide(bag)).sum(axis=1) - wide((s["bag"] * bag).sum(axis=1))
-        e = s["weight"] * pull
-        gate = e[:, None] * parts["a"]
-        t, g = gate * s["g"] * (1 - s["t"] ** 2), gate * s["t"] * s["g"] * (1 - s["g"])
-        h = (h + t @ parts["v"].T + g @ parts["u"].T) * (s["h"] > 0)
-        grads = {
-            "c": s["bag"].T @ wrong, "d": wrong.sum(), "a": (s["t"] * s["g"]).T @ e,
-            "v": s["h"].T @ t, "u": s["h"].T @ g, "w": s["z"].T @ h, "b": h.sum(axis=0),
-        }
+        grads = gradients(model, x, starts, labels, weights)
         for name, value in parts.items():
             m, v = moments[name]
             grad = grads[name] + 1e-5 * value
@@ -139,8 +145,8 @@ def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, steps: int = 400,
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     """A model from at most ``sample`` labelled documents, half of either label at most.
 
-    The sample is chosen by a hash of the ids before any text is read; of a long document,
-    evenly spread passages are learnt from.  Rows with a null id, label or text teach nothing; of
+    The sample is chosen by a hash of the ids before any text is read; whole texts are learnt from, and
+    come to the driver as numbers for each passage.  Rows with a null id, label or text teach nothing; of
     several labels the lowest counts, of several documents with one id the least text.  There is no
     model unless both labels occur.
     """
@@ -158,7 +164,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qual
         .join(ids, F.col("doc_id") == F.col("_id"))
         .groupBy("_id", "_label", "_key")
         .agg(F.min("text").alias("_text"))
-        .select("_label", "_key", "_id", _sampled(F.col("_text")).alias("_x"))
+        .select("_label", "_key", "_id", _encoded(F.col("_text")).alias("_x"))
         .sort("_key", "_id")
         .collect()
     )
@@ -170,14 +176,12 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qual
     return fit(np.concatenate(bags).astype(np.float64), starts, truth)
 
 
-def _sampled(text: Column) -> Column:
+def _encoded(text: Column) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
             for value in batch:
-                pieces = passages(value.as_py() or b"")
-                steps = min(len(pieces), SAMPLE_PASSAGES)
-                out.append(encode([pieces[len(pieces) * k // steps] for k in range(steps)]).tobytes())
+                out.append(encode(passages(value.as_py() or b"")).tobytes())
             yield pa.array(out, type=pa.binary())
 
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -25,7 +25,7 @@ def test_quality_on_held_out_documents(spark):
 
 
 def test_attention_gradients():
-    """The trained parameters move as finite differences say."""
+    """The gradients are what finite differences say, and training follows them."""
     random_ = np.random.default_rng(1)
     x = random_.normal(size=(9, quality.FEATURES))
     starts, labels = np.array([0, 4, 5]), np.array([1.0, 0.0, 1.0])
@@ -33,6 +33,23 @@ def test_attention_gradients():
     loss = lambda m: -np.mean(
         [np.log(s if y else 1 - s) for s, y in zip(m.forward(x, starts)["score"], labels)]
     )
+    weights = np.array([0.2, 0.5, 0.3])
+
+    def weighted_loss():
+        scores = before.forward(x, starts)["score"]
+        return -(weights * (labels * np.log(scores) + (1 - labels) * np.log(1 - scores))).sum()
+
+    found = quality.gradients(before, x, starts, labels, weights)
+    for name, values in before.parts.items():
+        flat, slopes = values.reshape(-1), np.asarray(found[name]).reshape(-1)
+        for k in random_.integers(0, flat.size, 12):
+            kept, step = flat[k], 1e-6
+            flat[k] = kept + step
+            above = weighted_loss()
+            flat[k] = kept - step
+            below = weighted_loss()
+            flat[k] = kept
+            assert abs((above - below) / (2 * step) - slopes[k]) < 1e-6, (name, k)
     after = quality.fit(x, starts, labels, steps=60)
     assert loss(after) < 0.2 * loss(before)
     weight = after.forward(x, starts)["weight"]

@@ -18,6 +18,8 @@ from cinderlog.sources.staging import broadcast_if_small, stage
 # Begins the join keys of rows that are meant to match nothing.  A null key would do as well,
 # but all null keys meet in one task.
 UNMATCHED = "\x00"
+# Place and range partition of rows that ``sort_once`` has put in order.
+ORDERED = ("_slot", "_range")
 # Bytes that make one part of an assembled text.
 PART_BYTES = 4 * 1024 * 1024
 
@@ -32,6 +34,20 @@ def _in_order(frame: DataFrame, sort_keys: Sequence[Column]) -> DataFrame:
     ).withColumn("_range", F.shiftright("_slot", 33))
 
 
+def sort_once(frame: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The rows in order, staged, for several texts and numberings of the same groups.
+
+    ``assemble`` takes the result, also filtered and with more columns, without sorting it again;
+    ``with_position`` does so with ``dense``.
+    """
+    return _in_order(frame, _columns([*keys, *order]))
+
+
+def is_sorted(frame: DataFrame) -> bool:
+    """Whether the rows come from ``sort_once``."""
+    return set(ORDERED) <= set(frame.columns)
+
+
 def _columns(items: Sequence[str | Column]) -> list[Column]:
     return [F.col(item) if isinstance(item, str) else item for item in items]
 
@@ -42,14 +58,20 @@ def with_position(
     order: Sequence[str | Column],
     position: str = "position",
     total: str | None = None,
+    dense: bool = False,
 ) -> DataFrame:
     """Number the rows of every group from 1 in the given order, without empty numbers.
 
     ``total``, if named, receives the group's row count.  The order should be unique in a
     group.  No group ever has to fit into one task.  The frame is read twice, once to find the
     range bounds, so an expensive one should be staged first.
+
+    ``dense`` tells that the frame holds all rows of ``sort_once`` by the same keys and order, none left out:
+    it is not sorted again.
     """
-    sorted_rows = _in_order(frame, _columns([*keys, *order]))
+    if not dense:
+        frame = frame.drop(*ORDERED)
+    sorted_rows = frame if dense else _in_order(frame, _columns([*keys, *order]))
     runs = sorted_rows.groupBy(*keys, "_range").agg(
         F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
@@ -115,10 +137,14 @@ def assemble(
     line at most, at every size of the group and however the rows are dealt out.  Parts are
     numbered from 1; joining them in order, with nothing in between, gives the whole text.
 
-    The lines are sorted and staged once.  Where parts begin is found from their lengths alone.
+    The lines are sorted and staged once, or before by ``sort_once``.  Where parts begin is found from
+    their lengths alone.
     """
-    narrow = lines.select(*keys, *_needed(lines, keys, order, text))
-    placed = _in_order(narrow, _columns([*keys, *order]))
+    if is_sorted(lines):
+        placed = lines.select(*keys, text, *ORDERED)
+    else:
+        narrow = lines.select(*keys, *_needed(lines, keys, order, text))
+        placed = _in_order(narrow, _columns([*keys, *order]))
     length = F.octet_length(text) + F.lit(len(separator.encode()))
     sizes = placed.select(*keys, "_range", "_slot", length.alias("_bytes"))
     sums = sizes.groupBy(*keys, "_range").agg(F.sum("_bytes").alias("_sum"))

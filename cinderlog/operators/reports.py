@@ -10,7 +10,14 @@ from cinderlog.functions import times
 from cinderlog.operators.causes import detect_causes
 from cinderlog.operators.events import EVENT_ORDER
 from cinderlog.operators.metrics import event_window, first_seen
-from cinderlog.operators.ordering import PART_BYTES, assemble, with_position, wrap
+from cinderlog.operators.ordering import (
+    ORDERED,
+    PART_BYTES,
+    assemble,
+    is_sorted,
+    with_position,
+    wrap,
+)
 from cinderlog.schemas import REPORTS
 from cinderlog.sources.staging import broadcast_if_small, stage
 
@@ -91,10 +98,15 @@ def signatures(events: DataFrame, source_name: Column) -> DataFrame:
     Every ``SIGNATURE_LINES`` lines give a SHA-256 digest of the lines, every ``SIGNATURE_LINES`` of these
     digests one of theirs, and the signature is the SHA-256 over the name and the latter.  The
     rule is the same for an incident of any size, and no task has to hold one whole.
+
+    Events that ``ordering.sort_once`` has put in order, all of them, are not sorted again; ``source_name`` then
+    is one for each incident.
     """
     named = events.withColumn("source_name", source_name)
     keys = ["incident_id", "source_name"]
-    rows = with_position(named.select(*keys, *EVENT_ORDER, "raw_line"), keys, EVENT_ORDER, "_place")
+    dense = is_sorted(events)
+    narrow = named.select(*keys, *EVENT_ORDER, "raw_line", *(ORDERED if dense else ()))
+    rows = with_position(narrow, keys, EVENT_ORDER, "_place", dense=dense)
     digests = rows.select(
         *keys, (F.col("_place") - 1).alias("_place"), F.col("raw_line").alias("_text")
     )

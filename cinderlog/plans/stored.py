@@ -14,7 +14,17 @@ from pyspark.sql import functions as F
 from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import source_name
 from cinderlog.functions.vectors import cosine, from_json_text, to_json_text
-from cinderlog.operators import embedding, evaluation, events, metrics, prompts, reports, retrieval
+from cinderlog.operators import (
+    embedding,
+    evaluation,
+    events,
+    evidence,
+    metrics,
+    ordering,
+    prompts,
+    reports,
+    retrieval,
+)
 from cinderlog.plans import analysis
 from cinderlog.plans.driver_tables import DriverTables, answers_sql
 from cinderlog.plans.oracle import (
@@ -34,7 +44,14 @@ from cinderlog.plans.oracle import (
     _quoted,
     _with,
 )
-from cinderlog.plans.queries import QUERY_PART_BYTES, REPLACED_SOURCE, _bigints, _report_tables, query
+from cinderlog.plans.queries import (
+    QUERY_PART_BYTES,
+    REPLACED_SOURCE,
+    _bigints,
+    _incident_evidence,
+    _report_tables,
+    query,
+)
 from cinderlog.sources import documents, growing_logs, logs, markdown_files, tables
 from cinderlog.sources.staging import stage, staging_root
 
@@ -248,6 +265,31 @@ def review_answers(t: DriverTables) -> DataFrame:
     )
 
 
+def _text_rows(frame: DataFrame, kind: str, text: str) -> DataFrame:
+    shown = frame.select(F.lit(kind).alias("kind"), "incident_id", "part", "parts", F.md5(text).alias("text_md5"))
+    return _bigints(shown, "part", "parts")
+
+
+@query
+def ordered_texts(t: DriverTables) -> DataFrame:
+    """Search texts, log evidence and prompts of all incidents, from events that are sorted once."""
+    ordered = ordering.sort_once(t.events(), ["incident_id"], events.EVENT_ORDER)
+    search = evidence.incident_queries(ordered, QUERY_PART_BYTES)
+    logged = evidence.log_evidence(ordered, QUERY_PART_BYTES)
+    built = prompts.analysis_prompts(ordered, _incident_evidence(t), QUERY_PART_BYTES)
+    return (
+        _text_rows(search, "query", "query")
+        .unionByName(_text_rows(logged, "evidence", "evidence"))
+        .unionByName(_text_rows(built, "prompt", "prompt"))
+    )
+
+
+@query
+def ordered_signatures(t: DriverTables) -> DataFrame:
+    ordered = ordering.sort_once(events.redact_events(t.events()), ["incident_id"], events.EVENT_ORDER)
+    return reports.signatures(ordered, F.concat("incident_id", F.lit(".log")))
+
+
 # --- expected results ------------------------------------------------------------------------
 
 _FILE_LINES = """file_lines AS (
@@ -300,6 +342,15 @@ STORED_ORACLES: dict[str, str] = {
     + " UNION ALL SELECT DISTINCT incident_id, 0, 0, 0, 0, 0 FROM lines WHERE incident_id NOT IN (SELECT incident_id FROM ev)",
     "growing_metrics": ORACLES["incident_metrics"]
     + " UNION ALL SELECT DISTINCT incident_id, 0, 0, 0, 0, 0 FROM lines WHERE incident_id NOT IN (SELECT incident_id FROM ev)",
+    "ordered_texts": " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, incident_id, part, parts, md5({text}) AS text_md5 FROM ({ORACLES[name]})"
+        for kind, text, name in (
+            ("query", "query", "incident_query"),
+            ("evidence", "evidence", "log_evidence"),
+            ("prompt", "prompt", "analysis_prompt"),
+        )
+    ),
+    "ordered_signatures": ORACLES["report_signature"],
     "read_uploads": _with(
         _PAGE_TEXTS,
         "SELECT '.txt' AS suffix, CASE WHEN text <> '' THEN md5(text) END AS text_md5, "

@@ -39,6 +39,10 @@ ALLOWED = (
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
+# Values that one list of running states holds.
+_BLOCK = 256
+# Code points of the blocks of a text, and of the blocks of these, in which spans are cut out.
+_LARGE, _SMALL = 1 << 18, 1 << 12
 
 
 def _with(body: Callable[..., Column], *bound: object) -> Callable[[Column], Column]:
@@ -55,25 +59,122 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
+def _before(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value the combination of all before it, in time that is linear in the values.
+
+    A fold that lists its states copies the list at each step; blocks of bounded size keep the copies
+    small, and the states before the blocks come from the same fold over the blocks' totals.
+    """
+
+    def states(start: Column, items: Column) -> Column:
+        empty = F.filter(F.array(start), lambda _: F.lit(False))
+        return F.aggregate(
+            items,
+            F.struct(start.alias("now"), empty.alias("past")),
+            lambda state, item: F.struct(
+                combine(state["now"], item).alias("now"), F.array_append(state["past"], state["now"]).alias("past")
+            ),
+        )["past"]
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, combine))
+        zipped = F.arrays_zip(blocks.alias("block"), states(zero, totals).alias("start"))
+        return F.flatten(F.transform(zipped, lambda x: states(x["start"], x["block"])))
+
+    def cut(values: Column) -> Column:
+        count = F.ceil(F.size(values) / _BLOCK).cast("int")
+        numbers = F.slice(F.sequence(F.lit(0), count), 1, count)
+        return F.transform(numbers, lambda block: F.slice(values, block * _BLOCK + 1, _BLOCK))
+
+    return _bound(values, lambda values: _bound(cut(values), over))
+
+
+def _added(total: Column, item: Column) -> Column:
+    return total + item
+
+
+def _larger(most: Column, item: Column) -> Column:
+    return F.greatest(most, item)
+
+
 def _located(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches in order with their places: ``start, end, text`` (code points, end exclusive)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    # What lies between matches; one piece more than there are matches.
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    pieces = F.arrays_zip(hits.alias("hit"), groups.alias("group"), gaps.alias("gap"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("at"),
-        F.array().cast("array<struct<start: bigint, end: bigint, text: string>>").alias("found"),
+    # What lies between matches, and behind the last one.
+    columns = [hits.alias("hit"), F.split(text, pattern, -1).alias("gap")]
+    if group:
+        columns.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group"))
+    pieces = F.transform(
+        F.filter(F.arrays_zip(*columns), lambda x: x["hit"].isNotNull()),
+        lambda x: F.struct(
+            F.length(x["gap"]).cast("bigint").alias("gap"),
+            F.length(x["hit"]).cast("bigint").alias("hit"),
+            x["group" if group else "hit"].alias("text"),
+        ),
     )
 
-    def put(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.length(piece["hit"])
-        found = F.struct(begin.alias("start"), end.alias("end"), piece["group"].alias("text"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], found).alias("found"))
+    def placed(pieces: Column) -> Column:
+        both = F.transform(pieces, lambda x: x["gap"] + x["hit"])
+        starts = _before(both, F.lit(0).cast("bigint"), _added)
+        return F.transform(
+            F.arrays_zip(pieces.alias("piece"), starts.alias("at")),
+            lambda x: F.struct(
+                (x["at"] + x["piece"]["gap"]).alias("start"),
+                (x["at"] + x["piece"]["gap"] + x["piece"]["hit"]).alias("end"),
+                x["piece"]["text"].alias("text"),
+            ),
+        )
+
+    return _bound(pieces, placed)
+
 
-    return F.aggregate(pieces, start, put)["found"]
+def _rewritten(text: Column, spans: Column, written: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """The text with something else in place of sorted spans.
+
+    The text is cut into blocks, and these into smaller ones, so that a span is looked for and cut out near
+    where it is.  ``written`` gives, for a span, the place of its block in the text and the part of the block
+    that it takes (from, to), what stands there.
+    """
+
+    def near(spans: Column, low: Column, size: int) -> Column:
+        return F.filter(spans, lambda x: (x["end"] > low) & (x["start"] < low + size))
+
+    def block(piece: Column, low: Column, spans: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))
+
+        def put(state: Column, span: Column) -> Column:
+            begin = F.greatest(state["at"], span["start"] - low)
+            end = F.least(F.greatest(state["at"], span["end"] - low), F.lit(_SMALL).cast("bigint"))
+            before = F.substring(piece, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
+            return F.struct(
+                end.alias("at"), F.concat(state["text"], before, written(span, low, begin, end)).alias("text")
+            )
+
+        def rest(state: Column) -> Column:
+            return F.concat(state["text"], F.substring(piece, (state["at"] + 1).cast("int"), F.lit(_SMALL)))
+
+        return F.when(F.size(spans) > 0, F.aggregate(spans, start, put, rest)).otherwise(piece)
+
+    def small(low: Column, spans: Column) -> Callable[[Column, Column], Column]:
+        def each(piece: Column, number: Column) -> Column:
+            at = low + number * _SMALL
+            return _bound(near(spans, at, _SMALL), lambda own: block(piece, at, own))
+
+        return each
+
+    def large(piece: Column, number: Column) -> Column:
+        low = number.cast("bigint") * _LARGE
+        return _bound(
+            near(spans, low, _LARGE),
+            lambda own: F.array_join(F.transform(_cut(piece, _SMALL), small(low, own)), ""),
+        )
+
+    whole = F.array_join(F.transform(_cut(text, _LARGE), large), "")
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def _cut(text: Column, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
 
 
 def base_spans(text: Column) -> Column:
@@ -156,18 +257,8 @@ def window_span(candidate: Column, limit: float, window: int = WINDOW) -> Column
 
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with spaces in place of every span; all other characters keep their places."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))
-
-    def put(state: Column, span: Column) -> Column:
-        begin, end = F.greatest(state["at"], span["start"]), F.greatest(state["at"], span["end"])
-        before = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
-        blank = F.repeat(F.lit(" "), (end - begin).cast("int"))
-        return F.struct(end.alias("at"), F.concat(state["text"], before, blank).alias("text"))
-
-    def rest(state: Column) -> Column:
-        return F.concat(state["text"], F.substring(text, (state["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, put, rest)).otherwise(text)
+    blank = lambda span, low, begin, end: F.repeat(F.lit(" "), (end - begin).cast("int"))
+    return _bound(F.array_sort(spans), lambda spans: _rewritten(text, spans, blank))
 
 
 def _class_spans(text: Column, pattern: str, limit: float, allowed: Sequence[str]) -> Column:
@@ -248,21 +339,26 @@ def mask_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     text stays null.
     """
     found = find_secrets(documents, "_secrets")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))
-
-    def put(state: Column, span: Column) -> Column:
-        apart = span["start"] >= state["at"]
-        before = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(apart, F.concat(state["text"], before, F.lit(mask))).otherwise(state["text"]).alias("text"),
+    spans = F.col("_secrets")["all"]
+
+    def marked(spans: Column) -> Column:
+        ends = F.transform(spans, lambda x: x["end"])
+        earlier = _before(ends, F.lit(0).cast("bigint"), _larger)
+        return F.transform(
+            F.arrays_zip(spans.alias("span"), earlier.alias("until")),
+            lambda x: F.struct(
+                x["span"]["start"].alias("start"),
+                x["span"]["end"].alias("end"),
+                (x["span"]["start"] >= x["until"]).alias("opens"),
+            ),
         )
 
-    def rest(state: Column) -> Column:
-        return F.concat(state["text"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+    def written(span: Column, low: Column, begin: Column, end: Column) -> Column:
+        return F.when(span["opens"] & (span["start"] >= low), F.lit(mask)).otherwise(F.lit(""))
 
-    hit = F.size(F.col("_secrets")["all"]) > 0
-    masked = F.when(hit, F.aggregate(F.col("_secrets")["all"], start, put, rest)).otherwise(F.col("text"))
+    hit = F.size(spans) > 0
+    cut = _bound(marked(spans), lambda spans: _rewritten(F.col("text"), spans, written))
+    masked = F.when(hit, cut).otherwise(F.col("text"))
     result = found.withColumn("_masked", masked)
     if "n_chars" in documents.columns:
         count = F.when(hit, F.length("_masked").cast(documents.schema["n_chars"].dataType))

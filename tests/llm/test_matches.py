@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -352,3 +353,37 @@ def test_allow_list_of_the_caller(frame):
     for allowed, expected in ((secrets.ALLOWED, []), ((), [(2, 3, 26)]), ((r"\A[a-z]+\z",), [(2, 3, 26)])):
         spans = secrets.entropy_spans(F.col("text"), none, allowed)
         assert [tuple(s) for s in documents.select(spans.alias("s")).first().s] == expected
+
+
+def test_many_spans_in_one_text(frame, monkeypatch):
+    """Blocks and lists of states that are small, so that spans lie across all their borders."""
+    monkeypatch.setattr(secrets, "_BLOCK", 3)
+    monkeypatch.setattr(secrets, "_LARGE", 64)
+    monkeypatch.setattr(secrets, "_SMALL", 8)
+    rng = random.Random(13)
+    parts = ["AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "token=0123456789abcdef0123456789", "é", " ", "word ", "Zx8Kp3q9LmT2vB7nWc4RyQ1d"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(25)]
+    documents = frame("id long, text string", *enumerate(texts))
+    masked = {r.id: r.text for r in secrets.mask_secrets(documents).collect()}
+    for row in secrets.find_secrets(documents).collect():
+        base = base_by_hand(row.text)
+        spans = sorted(base + entropy_by_pieces(row.text, base))
+        assert [tuple(s) for s in row.secrets["all"]] == spans, row.text
+        expected, at = "", 0
+        for start, _, end in spans:
+            if start >= at:
+                expected += row.text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert masked[row.id] == expected + row.text[at:]
+
+
+def test_time_follows_the_spans(frame):
+    rng = random.Random(14)
+    keys = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(20_000)]
+    documents = frame("id long, text string", (1, "é " + " ".join(keys)))
+    started = time.monotonic()
+    found = secrets.find_secrets(documents).first().secrets
+    masked = secrets.mask_secrets(documents).first().text
+    assert [tuple(s) for s in found["base"]] == [(2 + 33 * k, 2, 34 + 33 * k) for k in range(20_000)]
+    assert masked == "é " + " ".join(["[SECRET]"] * 20_000)
+    assert time.monotonic() - started < 60

@@ -516,11 +516,12 @@ def normalize_citations(t: DriverTables) -> DataFrame:
 
 @query
 def attach_context(t: DriverTables) -> DataFrame:
-    found = retrieval.with_chunks(retrieval.search(t.query_vectors(), t.vectors()), t.vectors())
     answers = t.answers()
-    conversation = F.floor(F.col("answer_id") / 100)
-    best = found.join(answers.select("answer_id"), F.col("query_id") == conversation).drop("query_id")
-    return audits.attach_source_context(answers, t.events(), best).select(
+    asked = answers.select("answer_id", F.floor(F.col("answer_id") / 100).alias("query_id"))
+    # Only what is asked is searched, and only the best match is named.
+    vectors = t.query_vectors().join(asked.select("query_id"), "query_id", "left_semi")
+    best = retrieval.with_chunks(retrieval.search(vectors, t.vectors(), 1), t.vectors())
+    return audits.attach_source_context(answers, t.events(), best.join(asked, "query_id")).select(
         "answer_id", "answer"
     )
 

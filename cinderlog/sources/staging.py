@@ -1,13 +1,17 @@
 """Intermediate tables in the cluster's shared checkpoint folder.
 
 A staged table cuts the lineage: its rows, and any row numbers taken from their physical order,
-stay the same however often later tasks are retried or executors are lost.
+stay the same however often later tasks are retried or executors are lost.  Tables that are staged inside
+``scratch`` go when its work is done; others stay until ``discard``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import add
 
@@ -36,14 +40,51 @@ def staging_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cinderlog-{spark.conf.get('spark.app.id')}"
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
+# Folders of the open ``scratch`` blocks, of the driver's thread.
+_open: ContextVar[tuple[str, ...]] = ContextVar("cinderlog_scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "work") -> Iterator[None]:
+    """Delete the tables that are staged inside the block when it ends well.
+
+    What is to be read afterwards must be written inside: elsewhere, or by ``stage`` with ``lasting``.  After
+    an error the tables stay, as they may tell what went wrong.
+    """
+    folder = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _open.set((*_open.get(), folder))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+    _delete(spark, folder)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all staged tables of this application."""
+    _delete(spark, staging_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession, lasting: bool = False) -> str:
+    opened = _open.get()[:-1] if lasting else _open.get()
+    return opened[-1] if opened else staging_root(spark)
+
+
+def stage(frame: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write the rows to a new staged table and return it.
 
+    Inside ``scratch`` the table goes with the block, or if ``lasting`` with the one around it.
+
     The bytes of flat rows are added up while they are written, so that ``broadcast_if_small`` needs no
     job of its own for the table.
     """
     spark = frame.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark, lasting)}/{name}-{uuid.uuid4().hex}"
     flat = not any(isinstance(field.dataType, _NESTED) for field in frame.schema)
     if not flat or frame.isStreaming:
         frame.write.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import decontamination, mixing, quality, secrets, simhash
-from cinderlog.sources.staging import stage
+from cinderlog.sources.staging import scratch, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,8 +54,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each result written and read again."""
+    """All stages over the whole ``documents`` table, each result written and read again.
+
+    What a stage stages for itself is deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        label = name.replace(" ", "-")
+        with scratch(spark, label):
+            docs = stage(apply(spark, docs, sf_dir), label, lasting=True)
     return docs

@@ -86,6 +86,29 @@ def test_uploads_split_at_every_boundary(spark, tmp_path, monkeypatch, block):
         assert found == list(enumerate(lines, start=1)), name
 
 
+def test_staged_tables_go_with_their_block(spark, tmp_path):
+    from pathlib import Path
+
+    rows = spark.range(5).withColumn("t", F.lit("x"))
+    held = lambda: {p.parent.name.rsplit("-", 1)[0] for p in Path(staging.staging_root(spark)).rglob("_SUCCESS")}
+    with staging.scratch(spark, "outer"):
+        with staging.scratch(spark, "inner"):
+            staging.stage(rows, "gone")
+            kept = staging.stage(rows, "kept-inside", lasting=True)
+        assert "gone" not in held() and "kept-inside" in held()
+        last = staging.stage(kept.where("id > 2"), "kept-outside", lasting=True)
+    assert "kept-inside" not in held() and last.count() == 2
+    try:
+        with staging.scratch(spark, "failing"):
+            staging.stage(rows, "evidence-of-failure")
+            raise ValueError
+    except ValueError:
+        pass
+    assert "evidence-of-failure" in held()
+    # The bytes that were added up while writing are those a job of its own finds.
+    assert getattr(staging.stage(rows, "a"), staging._MEASURED) == rows.agg(F.sum(staging._row_bytes(rows))).first()[0]
+
+
 def test_measured_bytes_follow_what_is_held(spark):
     rows = spark.createDataFrame(
         [("x" * 1000, [1.0] * 500, {"k": "v" * 700}, [{"a": b"z" * 300}])],

@@ -139,19 +139,39 @@ def within_bound(rejected: int, total: int, limit: float, error: float) -> bool:
     return tail <= error
 
 
-def strictest(counts: list[int], cutoffs: list[float], total: int, limit: float, error: float) -> float | None:
-    """The last cutoff before the first that is not within the bound, from mild to strict.
+def strictest(counts: list[int], total: int, limit: float, error: float) -> int | None:
+    """The last step before the first whose rejections are not within the bound, from mild to strict.
 
-    Testing in this fixed order needs no correction for the number of cutoffs.
+    Testing in this fixed order needs no correction for the number of steps.
     """
     best = None
-    for rejected, cutoff in zip(counts, cutoffs):
+    for step, rejected in enumerate(counts):
         if not within_bound(rejected, total, limit, error):
             break
-        best = cutoff
+        best = step
     return best
 
 
+def _steps() -> int:
+    return max(len(cutoffs) for _, cutoffs in measures().values())
+
+
+def _cutoff(cutoffs: list[float], step: int) -> float:
+    return cutoffs[min(step, len(cutoffs) - 1)]
+
+
+def first_step() -> Column:
+    """The first step at which any rule rejects the document; the number of steps if none does."""
+    never = F.lit(_steps())
+    first = []
+    for measure, cutoffs in measures().values():
+        at = never
+        for step in range(len(cutoffs) - 1, -1, -1):
+            at = F.when(measure > cutoffs[step], F.lit(step)).otherwise(at)
+        first.append(at)
+    return F.least(*first)
+
+
 def learn_cutoffs(
     labelled: DataFrame,
     stratum: str,
@@ -160,33 +180,50 @@ def learn_cutoffs(
 ) -> DataFrame:
     """``<stratum>, cutoffs`` (map of rule to cutoff) from the counts of good documents.
 
-    Each rule may reject an equal part of ``false_rejections`` of the good documents of a stratum;
-    the error is shared by all strata and rules (Bonferroni).  So with chance ``1 - error``, no
-    stratum loses more than ``false_rejections`` of its good documents.  A stratum with too few
-    documents for any bound has no cutoffs and loses nothing.
-    """
-    rules = measures()
-    sums = [
-        F.array(*(F.sum((measure > cutoff).cast("bigint")) for cutoff in cutoffs)).alias(name)
-        for name, (measure, cutoffs) in rules.items()
-    ]
-    counted = stage(labelled.groupBy(stratum).agg(F.count(F.lit(1)).alias("_total"), *sums), "rule-counts")
-    strata = max(1, counted.count())
-    limit, each = false_rejections / len(rules), error / (strata * len(rules))
-
-    def choose(cutoffs: list[float]):
-        @F.udf("double")
-        def chosen(counts, total):
-            return strictest(counts, cutoffs, total, limit, each)
-
-        return chosen
+    Step by step all rules get stricter together.  A step is tested by the good documents that any rule
+    rejects there, so the whole of ``false_rejections`` serves one test; in the fixed order of steps a stratum needs
+    no correction, and the error is shared by the strata and one test more (Bonferroni).  That one is for the strata
+    with too few documents to pass even without a rejection: they are tested together and
+    share their cutoffs, so for them the bound holds for all their documents taken together and not for each stratum.
 
+    So with chance ``1 - error``, no large stratum, and not the small ones together, lose more than
+    ``false_rejections`` of their good documents.  Where even the first step fails there are no cutoffs.
+    """
+    steps = _steps()
+    rejected = F.array(*(F.sum((F.col("_first") <= step).cast("bigint")) for step in range(steps)))
+    counted = stage(
+        labelled.withColumn("_first", first_step())
+        .groupBy(stratum)
+        .agg(F.count(F.lit(1)).alias("_total"), rejected.alias("_rejected")),
+        "rule-counts",
+    )
+    each = error / (counted.count() + 1)
+
+    @F.udf("boolean")
+    def enough(total):
+        return within_bound(0, total, false_rejections, each)
+
+    @F.udf("int")
+    def chosen(rejected, total):
+        return strictest(rejected, total, false_rejections, each)
+
+    sized = counted.withColumn("_large", enough("_total"))
+    sums = F.array(*(F.sum(F.col("_rejected")[step]) for step in range(steps)))
+    pooled = sized.where(~F.col("_large")).agg(sums.alias("_rejected"), F.sum("_total").alias("_total"))
+    pooled = pooled.where(F.col("_total") > 0).select(chosen("_rejected", "_total").alias("_pooled"))
+    own = F.when(F.col("_large"), chosen("_rejected", "_total"))
+    # The pool is one row at most.
+    stepped = sized.withColumn("_own", own).join(F.broadcast(pooled), ~F.col("_large"), "left")
+    step = F.coalesce("_own", "_pooled")
     entries = [
-        F.struct(F.lit(name).alias("key"), choose(cutoffs)(F.col(name), F.col("_total")).alias("value"))
-        for name, (_, cutoffs) in rules.items()
+        F.struct(
+            F.lit(name).alias("key"),
+            F.element_at(F.array(*(F.lit(_cutoff(cutoffs, at)) for at in range(steps))), step + 1).alias("value"),
+        )
+        for name, (_, cutoffs) in measures().items()
     ]
-    set_ = F.filter(F.array(*entries), lambda entry: entry["value"].isNotNull())
-    return counted.select(stratum, F.map_from_entries(set_).alias("cutoffs"))
+    set_ = F.when(step.isNotNull(), F.map_from_entries(F.array(*entries)))
+    return stepped.select(stratum, F.coalesce(set_, F.create_map().cast("map<string, double>")).alias("cutoffs"))
 
 
 def judge(
@@ -201,7 +238,7 @@ def judge(
     ``documents`` has ``doc_id, text`` and the stratum's column, ``labels`` has ``doc_id, quality``.
     A document fails the base rules with fewer than 10 words or more than 20 % repeated words;
     it breaks a rule if its measure is above the stratum's cutoff, learnt from all documents labelled
-    good (quality 1).  Documents that fail the base rules say nothing about the cutoffs and are left out there.
+    good (quality 1); see ``learn_cutoffs`` for strata with few of them.  A stratum without any has no cutoffs.  Documents that fail the base rules say nothing about the cutoffs and are left out there.
 
     A null text is empty and fails the base rules; a null stratum is a stratum; labels of null or unknown
     ids, and null labels, count for nothing; a document labelled good twice counts once per

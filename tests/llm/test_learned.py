@@ -192,6 +192,38 @@ def test_cutoffs_hold_in_each_stratum(frame):
     assert [r.kept for r in judged if r.doc_id == 9000] == [not r.base_failed for r in judged if r.doc_id == 9000]
 
 
+def test_small_strata_share_a_bound(frame):
+    """Six strata of 60 good documents: none passes alone, all together do."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = [(k, " ".join(word() for _ in range(40)), f"s{k % 6}") for k in range(360)]
+    rows += [(1000 + k, " ".join(word() + "###" for _ in range(40)), f"s{k % 7}") for k in range(21)]
+    documents = frame("doc_id long, text string, lang string", *rows)
+    labels = frame("doc_id long, quality int", *((k, int(k < 1000)) for k, _, _ in rows))
+    judged = {r.doc_id: r for r in rules.judge(documents, labels).collect()}
+    assert sum(not judged[k].kept for k in range(360)) <= 0.02 * 360
+    # The seventh stratum has no good document, so nothing is known about it.
+    assert all(judged[1000 + k].kept == (k % 7 == 6 and not judged[1000 + k].base_failed) for k in range(21))
+    few = labels.where("doc_id < 100")
+    assert all(r.kept != r.base_failed and not r.broken for r in rules.judge(documents, few).collect())
+
+
+def test_first_step(frame):
+    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
+    rng = random.Random(22)
+    rows = [(n, n * rng.randrange(1, 50), *(rng.randrange(0, n) for _ in range(5))) for n in (rng.randrange(5, 200) for _ in range(60))]
+    measured = rules.measures()
+    values = frame(schema, *rows).select(rules.first_step().alias("first"), *(m.alias(name) for name, (m, _) in measured.items()))
+    for row in values.collect():
+        steps = [
+            step
+            for step in range(rules._steps())
+            if any(row[name] > rules._cutoff(cutoffs, step) for name, (_, cutoffs) in measured.items())
+        ]
+        assert row["first"] == min(steps, default=rules._steps())
+        assert steps == list(range(row["first"], rules._steps()))
+
+
 def test_urls(frame):
     cases = {
         None: ("", "", None, "allow"),

@@ -248,6 +248,45 @@ def test_urls(frame):
     assert {r.verdict for r in urls.judge_urls(long).collect()} == {"block", "allow"}
 
 
+@pytest.mark.parametrize("block_bytes", [urls.VOCABULARY_BYTES, 3000])
+def test_a_vocabulary_of_thousands(frame, block_bytes):
+    """Terms overlap and nest and have weights of their own; each is looked for by itself here."""
+    rng = random.Random(17)
+    letters = "abcABC0-./é"
+    terms = {"".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(4000)}
+    table = [(term, rng.random() < 0.02, rng.choice((0.1, 0.2, 0.5, 1.0))) for term in sorted(terms)]
+    table += [table[0], ("", True, 1.0), (None, True, 1.0), ("zz", None, None), ("ZZ", False, 0.5), ("yy", False, 9.0)]
+    pages = [(k, "x://" + "".join(rng.choices(letters, k=rng.randrange(0, 40)))) for k in range(150)]
+    pages += [(500, "a zz b"), (501, None), (502, "yy"), (503, "yy zz"), (504, "")]
+    fold = {code: code + 32 for code in range(65, 91)}
+    known = {}
+    for term, strict, weight in table:
+        if term:
+            key, own = term.translate(fold), (bool(strict), 1.0 if weight is None else weight)
+            known[key] = tuple(map(max, known.get(key, own), own))
+    inner = set("abcdefghijklmnopqrstuvwxyz0123456789")
+    want = {}
+    for page, url in pages:
+        text = (url or "").translate(fold)
+        found = set()
+        for term in known:
+            at = text.find(term)
+            while at >= 0:
+                if not (at and text[at - 1] in inner) and text[at + len(term) : at + len(term) + 1] not in inner:
+                    found.add(term)
+                at = text.find(term, at + 1)
+        strict = sorted(t for t in found if known[t][0])
+        soft = sorted(t for t in found if not known[t][0])
+        bad = bool(strict) or (len(soft) > 1 and sum(known[t][1] for t in soft) >= 1.5)
+        want[page] = (strict, soft, "block" if bad else "allow")
+    vocabulary = frame("term string, strict boolean, weight double", *table)
+    judged = urls.judge_urls(frame("page_id long, url string", *pages), (), vocabulary, 1.5, block_bytes)
+    rows = {r.page_id: (list(r.strict_terms), list(r.soft_terms), r.verdict) for r in judged.collect()}
+    assert rows == want and len({verdict for _, _, verdict in want.values()}) == 2
+    empty = urls.judge_urls(frame("page_id long, url string", *pages), (), vocabulary.where("false"))
+    assert {r.verdict for r in empty.collect()} == {"allow"}
+
+
 def test_measures_reject_only_above(frame):
     row = frame("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long", (0,) * 7)
     assert all(row.select(measure.alias("m")).first().m == 0.0 for measure, _ in rules.measures().values())

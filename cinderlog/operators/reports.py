@@ -19,10 +19,12 @@ from cinderlog.operators.ordering import (
     wrap,
 )
 from cinderlog.schemas import REPORTS
-from cinderlog.sources.staging import broadcast_if_small, stage
+from cinderlog.sources.staging import broadcast_if_small, measured_bytes, stage
 
 # Lines, and digests of them, that one digest of a signature covers.
 SIGNATURE_LINES = 1_000
+# Report rows of a batch whose new signatures are numbered by one task.
+ONE_TASK_BYTES = 8 * 1024 * 1024
 FALLBACK_CHUNKS = 2
 
 
@@ -192,7 +194,8 @@ def upsert_reports(reports: DataFrame, rows: DataFrame, highest: int | None = No
     A report is all rows of a signature, one for each part of its text, under one id.  A known
     signature keeps its id, counts and window and takes the new time and text, with as many parts as the new
     text has; a new one gets the next free id after ``highest`` (the table's own if not given), in
-    order of name and signature.  Of several rows for one signature and part one counts, see
+    order of name and signature.  A batch of ``ONE_TASK_BYTES`` at most is numbered by one task, a larger one by
+    ranges, with the same ids.  Of several rows for one signature and part one counts, see
     ``latest_per_signature``.
     """
     latest = stage(latest_per_signature(rows), "latest-reports")
@@ -205,9 +208,13 @@ def upsert_reports(reports: DataFrame, rows: DataFrame, highest: int | None = No
     fresh = heads.join(known, "signature", "left_anti")
     if highest is None:
         highest = reports.agg(F.max("id")).first()[0] or 0
-    numbered = with_position(fresh, [], ["source_name", "signature"], "_number").select(
-        "signature", (F.col("_number") + F.lit(highest)).alias("id")
-    )
+    in_order = ["source_name", "signature"]
+    size = measured_bytes(latest)
+    if size is not None and size <= ONE_TASK_BYTES:
+        numbered = fresh.withColumn("_number", F.row_number().over(Window.orderBy(*in_order)))
+    else:
+        numbered = with_position(fresh, [], in_order, "_number")
+    numbered = numbered.select("signature", (F.col("_number") + F.lit(highest)).alias("id"))
     ids = known.select("signature", "id").unionByName(numbered)
     kept = reports.join(heads, "signature", "left_anti")
     facts = known.drop("id")

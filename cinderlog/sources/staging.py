@@ -103,12 +103,17 @@ def broadcast_if_small(frame: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Da
     and other values with 16 bytes.  A larger frame is left to the planner, which then joins by
     shuffle.  The frame should be a staged or stored table, so that measuring it is cheap.
     """
-    total = getattr(frame, _MEASURED, None)
+    total = measured_bytes(frame)
     if total is None:
         total = frame.agg(F.sum(_row_bytes(frame))).first()[0] or 0
     return F.broadcast(frame) if total <= max_bytes else frame
 
 
+def measured_bytes(frame: DataFrame) -> int | None:
+    """Bytes of a staged table as added up while it was written; null for other frames and nested rows."""
+    return getattr(frame, _MEASURED, None)
+
+
 def _row_bytes(frame: DataFrame) -> Column:
     return reduce(add, [_bytes(F.col(f"`{field.name}`"), field.dataType) for field in frame.schema])
 

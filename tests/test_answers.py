@@ -230,7 +230,9 @@ def test_signature_of_a_long_incident_covers_every_line(events_of, monkeypatch):
     assert signed[0] == signed_by_hand("n", [text for _, text in ordered], 3)
 
 
-def test_reports_share_a_signature_once(spark, events_of, frame, tmp_path):
+@pytest.mark.parametrize("one_task", [reports.ONE_TASK_BYTES, -1])
+def test_reports_share_a_signature_once(spark, events_of, frame, tmp_path, monkeypatch, one_task):
+    monkeypatch.setattr(reports, "ONE_TASK_BYTES", one_task)
     path = str(tmp_path / "reports")
     found = events_of(a=[LINE], b=[LINE], c=[LINE + "!"])
     schema = "incident_id string, part int, analysis_markdown string"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
@@ -103,10 +103,36 @@ def broadcast_if_small(frame: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Da
     and other values with 16 bytes.  A larger frame is left to the planner, which then joins by
     shuffle.  The frame should be a staged or stored table, so that measuring it is cheap.
     """
+    return F.broadcast(frame) if _total_bytes(frame) <= max_bytes else frame
+
+
+# Copies of each row of a large side that a hot key of the other side is spread over.
+SPREAD = 16
+
+
+def join_unique(
+    frame: DataFrame,
+    unique: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "inner",
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Join (``inner`` or ``left``) with a staged side that has each key once.
+
+    A side of at most ``max_bytes`` is broadcast.  A larger one is shuffled, each of its rows ``SPREAD`` times, so
+    that the rows of one key of ``frame`` meet it in as many tasks, dealt out by the ``spread`` columns.
+    """
+    if _total_bytes(unique) <= max_bytes:
+        return frame.join(F.broadcast(unique), list(keys), how)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+    dealt = F.pmod(F.xxhash64(F.lit(11), *spread), F.lit(SPREAD))
+    return frame.withColumn("_copy", dealt).join(unique.withColumn("_copy", copies), [*keys, "_copy"], how).drop("_copy")
+
+
+def _total_bytes(frame: DataFrame) -> int:
     total = measured_bytes(frame)
-    if total is None:
-        total = frame.agg(F.sum(_row_bytes(frame))).first()[0] or 0
-    return F.broadcast(frame) if total <= max_bytes else frame
+    return (frame.agg(F.sum(_row_bytes(frame))).first()[0] or 0) if total is None else total
 
 
 def measured_bytes(frame: DataFrame) -> int | None:

@@ -357,7 +357,9 @@ def decontaminate(
     null text stays null.
     """
     found = F.col("_found")
-    judged = find_contamination(documents, items, window, block_words, "_found", most_hit)
+    # All other columns travel in one, so that none can have a name that is used here.
+    held = documents.select(F.struct("*").alias("_document"), "text")
+    judged = find_contamination(held, items, window, block_words, "_found", most_hit)
     kept = judged.where(
         found["n_hit"] <= F.lit(most_hit) * found["n_words"]
     ).withColumn("_hit", found["n_hit"] > 0)
@@ -374,12 +376,13 @@ def decontaminate(
             if rows.where("_hit").isEmpty():
                 break
             rows = _cleaned_once(rows.drop("_found"), items, window, block_words)
+    own = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         changed = ~F.col("text").eqNullSafe(F.col("_before"))
-        count = F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-        rows = rows.withColumn("n_chars", count)
-    return rows.select(*documents.columns)
+        count = F.when(changed, F.length("text").cast(kind))
+        own["n_chars"] = count.otherwise(F.col("_document")["n_chars"])
+    return rows.select(*(own.get(name, F.col("_document")[name]).alias(name) for name in documents.columns))
 
 
 def _cleaned_once(rows: DataFrame, items: DataFrame, window: int, block_words: int) -> DataFrame:

@@ -338,7 +338,8 @@ def mask_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     ``n_chars``, where there is one, is counted anew for changed texts.  Cases as in ``find_secrets``; a null
     text stays null.
     """
-    found = find_secrets(documents, "_secrets")
+    # All other columns travel in one, so that none can have a name that is used here.
+    found = find_secrets(documents.select(F.struct("*").alias("_document"), "text"), "_secrets")
     spans = F.col("_secrets")["all"]
 
     def marked(spans: Column) -> Column:
@@ -360,7 +361,8 @@ def mask_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     cut = _bound(marked(spans), lambda spans: _rewritten(F.col("text"), spans, written))
     masked = F.when(hit, cut).otherwise(F.col("text"))
     result = found.withColumn("_masked", masked)
+    own = {"text": F.col("_masked")}
     if "n_chars" in documents.columns:
         count = F.when(hit, F.length("_masked").cast(documents.schema["n_chars"].dataType))
-        result = result.withColumn("n_chars", count.otherwise(F.col("n_chars")))
-    return result.withColumn("text", F.col("_masked")).select(*documents.columns)
+        own["n_chars"] = count.otherwise(F.col("_document")["n_chars"])
+    return result.select(*(own.get(name, F.col("_document")[name]).alias(name) for name in documents.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.batches import arrow_udf, rounds
-from cinderlog.sources.staging import broadcast_if_small, stage
+from cinderlog.sources.staging import broadcast_if_small, join_unique, stage
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -172,13 +172,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         around = edges.unionByName(turned)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stage(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
         large = (
-            around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_unique(around, least, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).where("u <> v").distinct()
         large = stage(large, "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(
+        lowest = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
+        small = join_unique(large, lowest, ["u"], ["v"]).select(
             F.inline(
                 F.array(
                     F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
@@ -215,17 +215,18 @@ def near_duplicates(
         documents.select("doc_id", fingerprints(F.col("text"), size).alias("_print")), "simhash-prints"
     )
     linked = _linked(hashed, most)
-    least = _by_root(hashed, linked).agg(F.min("doc_id").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("node").alias("_node"), "component_id")
+    rooted = join_unique(hashed, linked.withColumnRenamed("node", "_print"), ["_print"], ["doc_id"])
+    least = stage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-least")
+    named = join_unique(linked, least, ["root"], ["node"]).select(F.col("node").alias("_node"), "component_id")
     own = hashed.groupBy("_print").agg(F.min("doc_id").alias("_first"))
     names = stage(
         own.join(named, F.col("_print") == F.col("_node"), "left").select(
-            F.col("_print").alias("_own"), F.coalesce("component_id", "_first").alias("component_id")
+            "_print", F.coalesce("component_id", "_first").alias("component_id")
         ),
         "simhash-named",
     )
     hexed = F.lower(F.lpad(F.hex("_print"), 16, "0"))
-    return hashed.join(broadcast_if_small(names), F.col("_print") == F.col("_own")).select(
+    return join_unique(hashed, names, ["_print"], ["doc_id"]).select(
         "doc_id", hexed.alias("fingerprint"), "component_id"
     )
 
@@ -235,13 +236,6 @@ def _linked(hashed: DataFrame, most: int) -> DataFrame:
     return stage(components(near_links(prints, most)), "simhash-linked")
 
 
-def _by_root(hashed: DataFrame, linked: DataFrame):
-    """Rows of linked fingerprints, grouped by the root of their component."""
-    return hashed.join(
-        broadcast_if_small(linked), F.col("_print") == F.col("node")
-    ).groupBy("root")
-
-
 def keep_one(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id.
 
@@ -255,9 +249,9 @@ def keep_one(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -
         "simhash-documents",
     )
     hashed = marked.select(F.col("_document.doc_id").alias("doc_id"), "_print", "_row")
-    linked = broadcast_if_small(_linked(hashed, most))
+    linked = _linked(hashed, most).withColumnRenamed("node", "_print")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    rooted = hashed.join(linked, F.col("_print") == F.col("node"), "left").withColumn(
+    rooted = join_unique(hashed, linked, ["_print"], ["_row"], "left").withColumn(
         "_root", F.coalesce("root", "_print")
     )
     first = rooted.groupBy("_root").agg(F.min(order).alias("_first"))

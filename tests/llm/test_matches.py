@@ -1,5 +1,6 @@
 """Decontamination, byte repeats, SimHash and secrets against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -387,3 +388,46 @@ def test_time_follows_the_spans(frame):
     assert [tuple(s) for s in found["base"]] == [(2 + 33 * k, 2, 34 + 33 * k) for k in range(20_000)]
     assert masked == "é " + " ".join(["[SECRET]"] * 20_000)
     assert time.monotonic() - started < 60
+
+
+def test_columns_with_any_name_stay(frame):
+    """Names that the operators use for themselves are ordinary columns of the input."""
+    names = ["_secrets", "_masked", "_hit", "_found", "_cleaned", "_before", "_document", "contamination", "start"]
+    key = "Zx8Kp3q9LmT2vB7nWc4RyQ1d"
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(k, f"{k} {key} {passage} more words stand here so that the text is kept whole and long enough", 7, *[f"{n}{k}" for n in names]) for k in range(3)]
+    rows.append((9, None, 7, *names))
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    documents = frame(schema, *rows)
+    items = frame("item_id long, text string", (1, passage))
+    many = frame("item_id long, text string", (1, passage), *((k, " ".join(f"q{k}x{j}" for j in range(12))) for k in range(2, 9)))
+    for done, gone in (
+        (secrets.mask_secrets(documents), key),
+        (decontamination.decontaminate(documents, items), passage),
+        (decontamination.decontaminate(documents, many, block_words=30), passage),
+    ):
+        assert done.columns == documents.columns
+        got = {r.doc_id: r for r in done.collect()}
+        assert set(got) == {0, 1, 2, 9}
+        for row in rows:
+            assert tuple(got[row[0]][n] for n in names) == row[3:]
+            if row[1]:
+                assert gone not in got[row[0]].text and got[row[0]].n_chars == len(got[row[0]].text)
+            else:
+                assert got[row[0]].text is None and got[row[0]].n_chars == 7
+
+
+def test_fingerprints_in_shuffled_joins(frame, monkeypatch):
+    """One giant component and one hub, with every join by shuffle and the hot keys spread."""
+    monkeypatch.setattr(simhash, "join_unique", functools.partial(simhash.join_unique, max_bytes=-1))
+    monkeypatch.setattr(simhash, "broadcast_if_small", lambda frame: frame)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:k] + words[k + 1 :]) for k in range(60)] + [" ".join(words)] * 20
+    texts += [None, "", "x y z w", "q r s t u"] + [" ".join(f"v{j}" for j in range(k, k + 9)) for k in range(6)]
+    documents = frame("doc_id long, text string, n int", *((k, t, k) for k, t in enumerate(texts)))
+    prints = [print_of(text) for text in texts]
+    names = components_of(prints)
+    least = {name: min(k for k, other in enumerate(names) if other == name) for name in set(names)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents).collect()}
+    assert got == {k: least[name] for k, name in enumerate(names)}
+    assert {r.doc_id for r in simhash.keep_one(documents).collect()} == set(least.values())

@@ -31,6 +31,7 @@ from cinderlog.operators.retrieval import (
     _norms,
     _unit,
     best_of,
+    block_count,
     query_blocks,
 )
 from cinderlog.schemas import CHUNKS
@@ -206,7 +207,7 @@ def search(
     )
     staged = stage(queries.select("query_id", "embedding"), "query-vectors")
     found = []
-    for ids, vectors in query_blocks(staged, block_bytes):
+    for ids, vectors in query_blocks(staged, block_count(staged, block_bytes)):
         if vectors.shape[1] != clusters.centre.shape[1]:
             raise ValueError("vectors must have the same length, at least 1")
         counts = (read, multiplied)
@@ -273,6 +274,7 @@ def _scored(
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters, ids, vectors, nearest, floor = shared.value
         best = _Best(vectors, limit, floor)
+        unit = _unit(vectors, best.norms)
         everyone = np.arange(len(ids))
         directed = best.norms > 0
         for batch in batches:
@@ -285,7 +287,7 @@ def _scored(
                 place = int(np.searchsorted(clusters.number, number))
                 asked = nearest[place]
                 if floor is not None:
-                    away = _angles(best.unit @ clusters.centre[place])
+                    away = _angles(unit @ clusters.centre[place])
                     bound = _best_score(away, angles[rows].min(), angles[rows].max(), number != _NO_DIRECTION, directed)
                     asked = np.setdiff1d(everyone[bound >= best.floor], asked, assume_unique=True)
                 if len(asked):

@@ -170,3 +170,35 @@ def test_query_texts_are_embedded_once(spark, frame, two):
     queries = embedding.from_function(embed)(texts)
     assert retrieval.search(queries, two, 1).count() == 10
     assert calls.value == 10
+
+
+def test_tasks_of_a_search_hold_one_ranking(spark, frame):
+    """Sets of queries are not ranked side by side in one task, and their number stays bounded."""
+    queries = frame("query_id long, embedding array<float>", *((n, [1.0, float(n)]) for n in range(400)))
+    chunks = frame("id long, embedding array<float>", *((n, [float(n), 1.0]) for n in range(50)))
+    result = retrieval.search(queries, chunks, 2, block_bytes=16)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    assert plan.count("MapInArrow") <= retrieval._SETS
+    assert found(result) == found(retrieval.search(queries, chunks, 2))
+
+
+def test_chunks_of_one_piece_are_dealt_out(spark, frame, monkeypatch):
+    monkeypatch.setattr(retrieval, "_TASK_PRODUCTS", 100)
+    draw = random.Random(6)
+    chunks = [(n, [float(draw.randint(-3, 3)) for _ in range(4)]) for n in range(100)]
+    queries = [(n, [float(draw.randint(-3, 3)) for _ in range(4)]) for n in range(30)]
+    asked = frame("query_id long, embedding array<double>", *queries)
+    result = retrieval.search(asked, frame("id long, embedding array<float>", *chunks).coalesce(1), 3)
+    assert len(result.inputFiles()) == 2 * spark.sparkContext.defaultParallelism
+    assert found(result) == brute_force(queries, chunks, 3)
+
+
+@pytest.mark.parametrize("width", [3, 700])
+def test_scores_closer_than_single_precision_rank_exactly(frame, width):
+    """Chunks whose scores differ by less than what a product of single precision tells apart."""
+    base = [1.0] * width
+    chunks = [(n, [1.0 + n * 1e-4 * (k == 0) for k in range(width)]) for n in range(60, 0, -1)]
+    rows = frame("id long, embedding array<double>", *chunks)
+    asked = frame("query_id long, embedding array<double>", (1, base))
+    assert found(retrieval.search(asked, rows, 3)) == brute_force([(1, base)], chunks, 3)

@@ -129,11 +129,12 @@ _EMPTY_PAGE = 10
 def _page_files(t: DriverTables) -> str:
     """Each page as a text file and, without its text, as a JSON file; every tenth text is blank."""
     path = _folder(t, "page-files")
-    pages = t.table("pages").select(
-        "page_id", F.when(F.col("page_id") % _EMPTY_PAGE == 0, " \t").otherwise(F.col("html")).alias("value")
-    )
-    pages.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/text")
-    pages.select("page_id").write.option("maxRecordsPerFile", 1).json(f"{path}/json")
+    text = F.when(F.col("page_id") % _EMPTY_PAGE == 0, " \t").otherwise(F.col("html"))
+    pages = t.spread(t.table("pages").select("page_id", text.alias("text")))
+    name = F.concat(F.lit("part-"), F.monotonically_increasing_id().cast("string")).alias("name")
+    markdown_files.export_texts(pages.select(name, "text"), f"{path}/text", ".txt")
+    ids = pages.select(name, F.to_json(F.struct("page_id")).alias("text"))
+    markdown_files.export_texts(ids, f"{path}/json", ".json")
     return path
 
 
@@ -141,14 +142,15 @@ def _page_files(t: DriverTables) -> str:
 def read_uploads(t: DriverTables) -> DataFrame:
     """Every page uploaded twice: once as a text and once as a file of a type that is not taken."""
     path = _page_files(t)
-    found = documents.read_uploads(t.spark, [f"{path}/text/*.txt", f"{path}/json/*.json"])
+    # Folders are listed as a whole; of a pattern Spark looks at every file by itself.
+    found = documents.read_uploads(t.spark, [f"{path}/text", f"{path}/json"])
     suffix = F.regexp_extract("source", r"(\.[a-z]+)\z", 1)
     return found.select(suffix.alias("suffix"), F.md5("text").alias("text_md5"), "reason")
 
 
 @query
 def accepted_documents(t: DriverTables) -> DataFrame:
-    found = documents.read_uploads(t.spark, f"{_page_files(t)}/text/*.txt")
+    found = documents.read_uploads(t.spark, f"{_page_files(t)}/text")
     return documents.accepted_documents(found).select(F.md5("text").alias("text_md5"))
 
 

@@ -46,3 +46,33 @@ def test_tasks_that_are_tried_again(tmp_path):
     writer.commit([message])
     assert texts(path) == {"1.md": "first half, second half\n", "2.md": "other\n"}
     assert sorted(file.name for file in path.iterdir()) == ["1.md", "2.md", "_SUCCESS"]
+
+
+def test_rows_as_files_of_text(spark, frame, tmp_path):
+    """Bytes that are no UTF-8 go through; rows stay where they are, and nothing unfinished is left."""
+    path = tmp_path / "out"
+    rows = frame("name string, text string", ("a", "é"), ("b", None), ("c", "x\ny"))
+    odd = spark.range(1).selectExpr("'d' AS name", "CAST(X'FF41' AS STRING) AS text")
+    markdown_files.export_texts(rows.repartition(3).unionByName(odd), str(path), ".txt")
+    files = {file.name: file.read_bytes() for file in path.iterdir()}
+    assert files.pop("_SUCCESS") == b""
+    assert files == {"a.txt": "é\n".encode(), "b.txt": b"\n", "c.txt": b"x\ny\n", "d.txt": b"\xffA\n"}
+
+
+def test_pages_become_files_in_many_tasks(spark, frame, tmp_path):
+    """A page table of one piece is dealt out; pages with one id, or none, have files of their own."""
+    from cinderlog.plans import stored
+    from cinderlog.plans.driver_tables import DriverTables
+
+    pages = [(n, f"u{n}", f"<p>{n}</p>") for n in range(1, 30)] + [(3, "again", "<p>again</p>"), (None, "none", None)]
+    frame("page_id long, url string, html string", *pages).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    path = stored._page_files(DriverTables(spark, str(tmp_path)))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/text").collect()
+    blank = [b" \t\n"] * 2
+    assert sorted(bytes(row.content) for row in found) == sorted(
+        [b"\n", *blank, *(html.encode() + b"\n" for n, _, html in pages if html and n % 10)]
+    )
+    tasks = {int(row.path.rpartition("part-")[2][:-4]) >> 33 for row in found}
+    assert len(tasks) == spark.sparkContext.defaultParallelism
+    ids = spark.read.text(f"{path}/json").collect()
+    assert sorted(row.value for row in ids) == sorted("{}" if n is None else f'{{"page_id":{n}}}' for n, _, _ in pages)

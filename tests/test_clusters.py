@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,3 +95,19 @@ def test_no_vector_is_shuffled_by_a_search(spark, frame):
         assert "Exchange" not in line or "embedding" not in line
     assert CHUNKS.fieldNames()[-1] == "embedding"
     assert np.isfinite([row.score for row in found.collect()]).all()
+
+
+def test_a_block_of_queries_takes_bounded_memory():
+    """A task holds its queries and their matches a few times at most, and no score matrix of all of them."""
+    draw = np.random.default_rng(1)
+    queries = draw.normal(size=(clusters.BLOCK_BYTES // (8 * 64), 64))
+    tracemalloc.start()
+    try:
+        best = retrieval._Best(queries, 5)
+        for start in (0, 200):
+            best.add(np.arange(start, start + 200), draw.normal(size=(200, 64)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert best.rows(np.arange(len(queries))).num_rows == 5 * len(queries)
+    assert peak < 100_000_000

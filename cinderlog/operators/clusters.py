@@ -25,8 +25,11 @@ from cinderlog import fixed_values as fixed
 from cinderlog.operators.retrieval import (
     _RANKED,
     _SCORED,
+    _SCORES,
     BLOCK_BYTES,
+    SET_BYTES,
     _Best,
+    _doubles,
     _matrix,
     _norms,
     _unit,
@@ -47,7 +50,7 @@ _PRECISION = 1e-7
 _MARGIN = 1e-9
 _ROUNDS = 8
 # Angles between queries and centres held at once, in numbers.
-_ANGLES = 4_000_000
+_ANGLES = 1_000_000
 
 
 class Clustered(NamedTuple):
@@ -86,6 +89,11 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
+def _rows_at_once(width: int | None) -> int:
+    """Rows of a batch that are turned into doubles at once: batches follow rows, and vectors may be wide."""
+    return max(1, _SCORES // (width or 1))
+
+
 def with_cluster(chunks: DataFrame, middle: np.ndarray) -> DataFrame:
     """Add ``cluster``, the most similar centre, and ``angle``, the angle to it in radians."""
     shared = chunks.sparkSession.sparkContext.broadcast(middle)
@@ -93,16 +101,19 @@ def with_cluster(chunks: DataFrame, middle: np.ndarray) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle = shared.value
+        width = middle.shape[1] or None
+        step = _rows_at_once(width)
         for batch in batches:
-            matrix = _matrix(batch.column(place), middle.shape[1] or None)
-            norms = _norms(matrix)
-            cluster, angle = np.full(len(matrix), _NO_DIRECTION), np.zeros(len(matrix))
-            directed = np.flatnonzero(norms > 0)
-            for rows in np.array_split(directed, 1 + len(directed) * len(middle) // _ANGLES):
-                if len(rows):
-                    cosines = _unit(matrix[rows], norms[rows]) @ middle.T
-                    cluster[rows] = cosines.argmax(axis=1)
-                    angle[rows] = _angles(cosines.max(axis=1))
+            cluster, angle = np.full(batch.num_rows, _NO_DIRECTION), np.zeros(batch.num_rows)
+            for start in range(0, batch.num_rows, step):
+                matrix = _matrix(batch.column(place).slice(start, step), width)
+                norms = _norms(matrix)
+                directed = np.flatnonzero(norms > 0)
+                for rows in np.array_split(directed, 1 + len(directed) * len(middle) // _ANGLES):
+                    if len(rows):
+                        cosines = _unit(matrix[rows], norms[rows]) @ middle.T
+                        cluster[start + rows] = cosines.argmax(axis=1)
+                        angle[start + rows] = _angles(cosines.max(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cluster, pa.int32()), pa.array(angle, pa.float64())],
                 names=[*batch.schema.names, "cluster", "angle"],
@@ -194,8 +205,9 @@ def search(
     """The ``limit`` most similar chunks of every query: ``(query_id, rank, id, score)``.
 
     The same rows as ``retrieval.search`` over the same chunks.  Chunk vectors stay in their files; query
-    vectors go to the tasks in blocks, and a block's results are staged.  ``read`` counts chunk vectors that
-    tasks take from the table, ``multiplied`` the products of a chunk and a query vector; retried tasks count again.
+    vectors go to the tasks in blocks, and a block's results are staged.  A block is bounded with the matches that
+    a task holds for it.  ``read`` counts chunk vectors that tasks take from the table, ``multiplied`` the products
+    of a chunk and a query vector; retried tasks count again.
     """
     spark = clustered.rows.sparkSession
     facts = clustered.facts.sort("cluster").toArrow()
@@ -206,8 +218,11 @@ def search(
         _matrix(facts["centre"], None),
     )
     staged = stage(queries.select("query_id", "embedding"), "query-vectors")
+    count, size = _doubles(staged)
+    held = size + 16 * count * min(limit, int(clusters.chunks.sum()))
+    blocks = max(block_count(staged, block_bytes), -(-held // SET_BYTES))
     found = []
-    for ids, vectors in query_blocks(staged, block_count(staged, block_bytes)):
+    for ids, vectors in query_blocks(staged, blocks):
         if vectors.shape[1] != clusters.centre.shape[1]:
             raise ValueError("vectors must have the same length, at least 1")
         counts = (read, multiplied)
@@ -273,13 +288,16 @@ def _scored(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters, ids, vectors, nearest, floor = shared.value
+        width = vectors.shape[1]
         best = _Best(vectors, limit, floor)
-        unit = _unit(vectors, best.norms)
         everyone = np.arange(len(ids))
         directed = best.norms > 0
-        for batch in batches:
-            numbers, angles, chunk_ids = (batch.column(k).to_numpy() for k in range(3))
-            matrix = _matrix(batch.column(3), vectors.shape[1])
+        lengths = np.where(directed, best.norms, 1.0)
+        step = _rows_at_once(width)
+        parts = (batch.slice(start, step) for batch in batches for start in range(0, batch.num_rows, step))
+        for part in parts:
+            numbers, angles, chunk_ids = (part.column(k).to_numpy() for k in range(3))
+            matrix = _matrix(part.column(3), width)
             if read is not None:
                 read.add(len(matrix))
             for number in np.unique(numbers):
@@ -287,7 +305,7 @@ def _scored(
                 place = int(np.searchsorted(clusters.number, number))
                 asked = nearest[place]
                 if floor is not None:
-                    away = _angles(unit @ clusters.centre[place])
+                    away = _angles(vectors @ clusters.centre[place] / lengths)
                     bound = _best_score(away, angles[rows].min(), angles[rows].max(), number != _NO_DIRECTION, directed)
                     asked = np.setdiff1d(everyone[bound >= best.floor], asked, assume_unique=True)
                 if len(asked):

@@ -72,8 +72,13 @@ class _Best:
 
     def __init__(self, queries: np.ndarray, limit: int, floor: np.ndarray | None = None) -> None:
         self.queries, self.limit = queries, limit
-        self.norms = _norms(queries)
-        self.unit = _unit(queries, self.norms).astype(np.float32)
+        self.norms = np.empty(len(queries))
+        self.unit = np.empty(queries.shape, np.float32)
+        step = max(1, _SCORES // max(1, queries.shape[1]))
+        for start in range(0, len(queries), step):
+            own = slice(start, start + step)
+            self.norms[own] = _norms(queries[own])
+            self.unit[own] = _unit(queries[own], self.norms[own])
         self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
         self.held = np.zeros(len(queries), np.int64)
         self.ids = np.zeros((len(queries), 0), np.int64)

@@ -1,7 +1,9 @@
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,45 @@ def test_a_block_of_queries_takes_bounded_memory():
         tracemalloc.stop()
     assert best.rows(np.arange(len(queries))).num_rows == 5 * len(queries)
     assert peak < 100_000_000
+
+
+def test_a_batch_of_wide_vectors_takes_bounded_memory():
+    """A batch follows rows; of wide vectors only a part is turned into doubles at once."""
+    draw = np.random.default_rng(2)
+    rows, width = 5000, 1024
+    chunks = draw.normal(size=(rows, width)).astype(np.float32)
+    embedding = pa.FixedSizeListArray.from_arrays(pa.array(chunks.ravel()), width).cast(pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), embedding], names=["id", "embedding"])
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    table = SimpleNamespace(
+        columns=["id", "embedding"],
+        schema=CHUNKS,
+        sparkSession=SimpleNamespace(sparkContext=context),
+        mapInArrow=lambda function, schema: function,
+    )
+    middle = chunks[:100] / np.linalg.norm(chunks[:100], axis=1)[:, None].astype(np.float64)
+    near = clusters.with_cluster(table, middle)
+    tracemalloc.start()
+    try:
+        placed = next(near(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert placed.column("cluster")[:100].to_pylist() == list(range(100))
+    assert np.allclose(np.cos(placed.column("angle").to_numpy()[100:]), (chunks[100:] @ middle.T / np.linalg.norm(chunks[100:], axis=1)[:, None]).max(axis=1))
+    assert peak < 40_000_000
+
+
+def test_blocks_are_bounded_with_their_matches(spark, frame, tmp_path, monkeypatch):
+    """Many matches for each query: a block holds fewer queries."""
+    draw = random.Random(6)
+    chunks = rows_of(frame, [(n, [draw.gauss(0, 1) for _ in range(4)]) for n in range(300)])
+    queries = frame("query_id long, embedding array<float>", *((n, [draw.gauss(0, 1) for _ in range(4)]) for n in range(40)))
+    path = str(tmp_path / "t")
+    clusters.write_clustered(chunks, path)
+    blocks, made = [], clusters.query_blocks
+    monkeypatch.setattr(clusters, "SET_BYTES", 60_000, raising=False)
+    monkeypatch.setattr(clusters, "query_blocks", lambda *given: blocks.append(given[1]) or made(*given))
+    found = clusters.search(queries, clusters.read_clustered(spark, path), 250)
+    assert ranked(found) == ranked(retrieval.search(queries, chunks, 250))
+    assert blocks == [3]

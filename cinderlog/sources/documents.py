@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderlog import fixed_values as fixed
 from cinderlog.functions.text import decode_utf8, file_suffix, source_name, strip
+from cinderlog.sources.listed_files import read_files
 from cinderlog.sources.logs import read_log_files
 
 
@@ -45,17 +46,11 @@ def read_uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Uploaded files with their extracted text, or the reason there is none.
 
     The content of a file over the size limit or of another type is never read: both checks are
-    on columns the file listing has.
+    on columns the file listing has.  Folders are listed in the tasks (``listed_files``).
     """
-    files = spark.read.format("binaryFile").load(
-        paths if isinstance(paths, str) else list(paths)
-    )
     known = file_suffix(F.col("path")).isin(*fixed.DOCUMENT_TYPES)
     small = known & (F.col("length") <= fixed.DOCUMENT_BYTES)
-    listed = files.filter(~small).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return extract_documents(
-        files.filter(small).select("path", "length", "content").unionByName(listed)
-    )
+    return extract_documents(read_files(spark, paths, small))
 
 
 def extract_documents(files: DataFrame) -> DataFrame:
